@@ -77,3 +77,17 @@ def broadcast_if_small(df: DataFrame, rows: int, most: int = 500_000) -> DataFra
 def held_out(doc_id: F.Column, folds: int, fold: int) -> F.Column:
     """Whether crc32(doc_id as text) mod `folds` is `fold`; false for a null id."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == fold, F.lit(False))
+
+
+def arrow_rows(spark: SparkSession, rows: int = 1000) -> None:
+    """Lowers the rows of an Arrow batch, which bounds the memory of Python workers."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
+def worker_cache() -> dict:
+    """A dictionary that lives as long as the Python worker, across its tasks."""
+    import sys
+
+    return sys.__dict__.setdefault("_quernstone_cache", {})

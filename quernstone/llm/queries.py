@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import stream_dedup
+from . import stream_dedup, tiff, token_prefix
 
 QUERIES = {
+    "op1_tiff_pages": tiff.op1,
+    "op6_token_prefix": token_prefix.op6,
     "op8_stream_dedup": stream_dedup.op8,
     "pipeline": corpus_pipeline.run,
 }
