@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import stream_dedup, tiff, token_prefix
+from . import language, quality, stream_dedup, tiff, token_prefix, toxicity
 
 QUERIES = {
     "op1_tiff_pages": tiff.op1,
+    "op3_toxicity_machine": toxicity.op3,
+    "op5_language_mixture": language.op5,
     "op6_token_prefix": token_prefix.op6,
     "op8_stream_dedup": stream_dedup.op8,
+    "op10_quality_ranking": quality.op10,
     "pipeline": corpus_pipeline.run,
 }
 
