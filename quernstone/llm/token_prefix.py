@@ -33,7 +33,7 @@ from . import common
 
 SPACE = "▁"
 #: Longest chunk, and most chunks, that a worker remembers.
-LONGEST_KEPT, MOST_KEPT = 48, 400_000
+LONGEST_KEPT, MOST_KEPT = 48, 500_000
 
 TOKENS = T.StructType(
     [
@@ -59,11 +59,12 @@ class PrefixCounter:
 
     def __init__(self, scores: dict[str, float]):
         self.scores = scores
-        self.longest = max(map(len, scores), default=1)
+        self.ends = {piece[i:] for piece in scores for i in range(len(piece))}
         inner = any(SPACE in piece.lstrip(SPACE) or "\n" in piece for piece in scores)
         self.chunk = re.compile(r"(?s).+" if inner else rf"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
         self.stable: dict = {}
         self.kept: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def merged(self, text: str) -> list[str]:
         """The encoding of a short text by merging, best score first, then leftmost."""
@@ -89,27 +90,39 @@ class PrefixCounter:
 
     def counts(self, chunk: str) -> list[int]:
         """Token counts of all prefixes of a chunk, the empty one first."""
-        count, last, scores = [0], [""], self.scores
+        count, last = [0], [""]
+        scores, ends, stable = self.scores, self.ends, self.stable
         for i in range(1, len(chunk) + 1):
-            for start in range(max(0, i - self.longest), i):
+            start, tokens = i - 1, []
+            token = chunk[start:i]
+            while token in ends:  # some piece ends with it, so a longer one may
+                if token in scores:
+                    tokens.append((start, token))
+                if not start:
+                    break
+                start -= 1
                 token = chunk[start:i]
-                if token in scores and self._fits(last[start], token):
+            for start, token in reversed(tokens):
+                left = last[start]
+                fits = stable.get((left, token))
+                if self._fits(left, token) if fits is None else fits:
                     count.append(count[start] + 1)
                     last.append(token)
                     break
             else:  # a character without a piece: its bytes, which merge with nothing
-                count.append(count[i - 1] + len(token.encode()))
+                count.append(count[-1] + len(chunk[i - 1].encode()))
                 last.append("\0")
         return count
 
     def _deltas(self, chunk: str) -> bytes:
-        known = self.kept.get(chunk)
+        known = self.older.get(chunk)
         if known is None:
-            known = np.diff(np.array(self.counts(chunk), np.int64)).astype(np.int8).tobytes()
-            if len(chunk) <= LONGEST_KEPT:
-                if len(self.kept) >= MOST_KEPT:
-                    self.kept.clear()
-                self.kept[chunk] = known
+            count = self.counts(chunk)
+            known = bytes([b - a & 255 for a, b in zip(count, count[1:], strict=False)])
+        if len(chunk) <= LONGEST_KEPT:
+            if len(self.kept) >= MOST_KEPT:
+                self.older, self.kept = self.kept, {}
+            self.kept[chunk] = known
         return known
 
     def deltas(self, text: str) -> bytes:
