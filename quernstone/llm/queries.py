@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import language, quality, stream_dedup, tiff, token_prefix, toxicity
+from . import entropy_mix, language, length_buckets, quality, stream_dedup, tiff, token_prefix, toxicity
 
 QUERIES = {
     "op1_tiff_pages": tiff.op1,
+    "op2_entropy_mix": entropy_mix.op2,
+    "op4_length_buckets": length_buckets.op4,
     "op3_toxicity_machine": toxicity.op3,
     "op5_language_mixture": language.op5,
     "op6_token_prefix": token_prefix.op6,
