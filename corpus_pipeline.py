@@ -3,17 +3,51 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quernstone.llm import common, stream_dedup
+from quernstone.llm import common, entropy_mix, length_buckets, near_dedup, stream_dedup, toxicity
 
 
-def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the factorization machine scores below its threshold."""
+    common.arrow_rows(spark)
+    machine = toxicity.learn(docs, common.labels(spark, sf_dir))
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    own = docs.toDF(*names)
+    scored = toxicity.scored(own, machine, names[docs.columns.index("text")])
+    return scored.where(F.col("score") < toxicity.THRESHOLD).select(*(F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)))
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each text."""
     return stream_dedup.deduplicated(spark, docs)
 
 
-STAGES = [("exact_dedup", exact_dedup)]
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: 5-word shingles, similarity 0.8."""
+    common.arrow_rows(spark)
+    return near_dedup.deduplicated(spark, docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
+    return entropy_mix.copied(spark, docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bucket, batch and slot of every document that is left."""
+    return length_buckets.packed(spark, docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact_dedup", drop_copies),
+    ("near_dedup", drop_near_copies),
+    ("mixing", mix_sources),
+    ("packing", pack),
+]
 
+#: A trained model, minhashes, Newton steps and a dynamic program have no SQL form.
 ORACLE_SQL = None
 
 
