@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import entropy_mix, language, length_buckets, near_dedup, quality, stream_dedup, tiff, token_prefix, toxicity
+from . import entropy_mix, language, length_buckets, licence, near_dedup, quality, stream_dedup, tiff, token_prefix, toxicity
 
 QUERIES = {
     "op1_tiff_pages": tiff.op1,
@@ -14,11 +14,13 @@ QUERIES = {
     "op5_language_mixture": language.op5,
     "op6_token_prefix": token_prefix.op6,
     "op8_stream_dedup": stream_dedup.op8,
+    "op7_licence_digest": licence.op7,
     "op9_tensor_minhash": near_dedup.op9,
     "op10_quality_ranking": quality.op10,
     "pipeline": corpus_pipeline.run,
 }
 
 ORACLE = {
+    "op7_licence_digest": licence.OP7_SQL,
     "op8_stream_dedup": stream_dedup.OP8_SQL,
 }
