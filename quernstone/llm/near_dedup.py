@@ -11,8 +11,8 @@ a class are never paired. Candidates come in rounds. In a round every key links
 classes to the smallest of them, a star instead of all pairs. Classes linked so far
 form components, and keys whose classes are all in one component are done. Of the
 other keys, small ones (at most `pairs_below` classes) then compare all classes of
-different components; large ones go to the next round with keys made of their own key
-and fresh half keys, which split unlike classes apart and keep alike ones together.
+different components; the classes of large ones go to the next round, whose fresh half
+keys have more minhashes each, which part unlike classes and keep alike ones together.
 After the last round what is left of large keys is compared in full, so no candidate
 is dropped anywhere.
 
@@ -125,11 +125,11 @@ def _signed(df: DataFrame, k: int, count: int, width: int, seed: int, whole: boo
 
 
 def _tables(df: DataFrame, count: int, base: str) -> DataFrame:
-    """A row for every pair of half keys: node, n, key."""
+    """A row for every pair of half keys: node, key."""
     pairs = F.flatten(
         F.transform(F.sequence(F.lit(0), F.lit(count - 2)), lambda i: F.transform(F.sequence(i + 1, F.lit(count - 1)), lambda j: F.xxhash64(F.col(base), i, j, F.get("half", i), F.get("half", j))))
     )
-    return df.select("node", "n", F.explode(pairs).alias("key"))
+    return df.select("node", F.explode(pairs).alias("key"))
 
 
 def components(spark: SparkSession, links: DataFrame, most: int = 60) -> DataFrame:
@@ -165,8 +165,10 @@ def _links(spark: SparkSession, pairs: DataFrame, sets: DataFrame, percent: int)
     return joined.where(both * 100 >= (F.size("x") + F.size("y") - both) * percent).select("a", "b")
 
 
-def _near_size(x: str, y: str, percent: int) -> F.Column:
-    return F.least(x, y) * 100 >= F.greatest(x, y) * percent
+def _near_size(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Without the pairs (a, b) whose sets differ too much in size to be linked."""
+    first, second = classes.select(F.col("node").alias("a"), F.col("n").alias("x")), classes.select(F.col("node").alias("b"), F.col("n").alias("y"))
+    return pairs.join(first, "a").join(second, "b").where(F.least("x", "y") * 100 >= F.greatest("x", "y") * percent).select("a", "b")
 
 
 def grouped(
@@ -177,7 +179,7 @@ def grouped(
     width: int = 3,
     miss: float = 1e-4,
     pairs_below: int = 48,
-    rounds: int = 3,
+    rounds: int = 2,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -193,30 +195,31 @@ def grouped(
     keys = _tables(classes.withColumn("base", F.lit(0).cast("bigint")), count, "base")
     links = None
     for turn in range(rounds):
-        keys = keys.select("node", "n", "key")
-        met = keys.groupBy("key").agg(F.min(F.struct("node", "n")).alias("least"), F.count(F.lit(1)).alias("many")).where("many > 1")
+        met = keys.groupBy("key").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("many")).where("many > 1")
         met = common.written(spark, met, "near-keys")
         shared = common.written(spark, keys.join(met.select("key", "least", "many"), "key"), "near-shared")
-        star = shared.where((F.col("node") != F.col("least.node")) & _near_size("n", "least.n", percent)).select(F.col("least.node").alias("a"), F.col("node").alias("b")).distinct()
-        star = common.written(spark, star, "near-stars")
+        star = shared.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
+        star = common.written(spark, _near_size(star, classes, percent), "near-stars")
         sets = _sets(spark, rows, classes, shared.select("node").distinct(), k)
         links = _together(spark, links, _links(spark, star, sets, percent))
         root = components(spark, links)
         # Keys whose classes are not all in one component yet.
         placed = shared.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
         split = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
-        open_ = common.written(spark, placed.join(split, "key", "left_semi").select("key", "node", "n", "root", "many"), "near-open")
+        open_ = common.written(spark, placed.join(split, "key", "left_semi").select("key", "node", "root", "many"), "near-open")
         last = turn == rounds - 1
         few = open_ if last else open_.where(F.col("many") <= pairs_below)
-        one, two = few.select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra")), few.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-        pairs = one.join(two, "key").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _near_size("na", "nb", percent)).select("a", "b").distinct()
-        pairs = common.written(spark, pairs.join(star, ["a", "b"], "left_anti"), "near-pairs")
+        one, two = few.select("key", F.col("node").alias("a"), F.col("root").alias("ra")), few.select("key", F.col("node").alias("b"), F.col("root").alias("rb"))
+        pairs = one.join(two, "key").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb"))).select("a", "b").distinct()
+        pairs = common.written(spark, _near_size(pairs, classes, percent).join(star, ["a", "b"], "left_anti"), "near-pairs")
         links = _together(spark, links, _links(spark, pairs, sets, percent))
-        many = open_.where(F.col("many") > pairs_below).select("node", "n", "key")
+        many = open_.where(F.col("many") > pairs_below).select("node").distinct()
         if last or not many.limit(1).count():
             break
-        fresh = _signed(_texts(spark, rows, classes, many.select("node").distinct()), k, count, width, turn + 1, False).select("node", "half")
-        keys = common.written(spark, _tables(many.join(common.written(spark, fresh, "near-fresh"), "node"), count, "key").distinct(), "near-split")
+        wide = width + 2 * (turn + 1)
+        count = half_key_count(percent / 100, wide, miss)
+        fresh = common.written(spark, _signed(_texts(spark, rows, classes, many), k, count, wide, turn + 1, False).select("node", "half"), "near-fresh")
+        keys = _tables(fresh.withColumn("base", F.lit(turn + 1).cast("bigint")), count, "base")
 
     root = components(spark, links)
     of_class = classes.join(root, "node", "left").select("digest", F.coalesce("root", "node").alias("root"))
