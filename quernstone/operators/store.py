@@ -27,3 +27,34 @@ def searched(records: DataFrame, items: DataFrame, text: str) -> DataFrame:
 def with_all_tags(tags: DataFrame, wanted: list[str]) -> DataFrame:
     """ids that carry every wanted label, exactly as spelled."""
     return tags.where(F.col("label").isin(wanted)).groupBy("id").agg(F.count_distinct("label").alias("n")).where(F.col("n") == len(set(wanted))).select("id")
+
+
+def upserted(records: DataFrame, saved: DataFrame, key: str, values: list[str]) -> DataFrame:
+    """id, key, values, created: saved rows replace the record of their key or become new ones.
+
+    Of several saved rows with one key the greatest counts. New ids come from the key,
+    so a rerun gives the same.
+    """
+    one = saved.groupBy(key).agg(F.max(F.struct(*values)).alias("new"))
+    both = records.select("id", key, F.struct(*values).alias("old")).join(one, key, "full")
+    rest = [F.when(F.col("new").isNotNull(), F.col(f"new.{v}")).otherwise(F.col(f"old.{v}")).alias(v) for v in values]
+    return both.select(F.coalesce(F.col("id").cast("string"), F.sha2(F.col(key).cast("string"), 256)).alias("id"), key, *rest, F.col("id").isNull().alias("created"))
+
+
+def patched(records: DataFrame, patches: DataFrame, values: list[str]) -> DataFrame:
+    """`records` with the non-null values of the patch of their id; one patch per id."""
+    names = {v: f"new_{v}" for v in values}
+    joined = records.join(patches.select("id", *(F.col(v).alias(n) for v, n in names.items())), "id", "left")
+    return joined.select(*((F.coalesce(names[c], c) if c in names else F.col(c)).alias(c) for c in records.columns))
+
+
+def nested(records: DataFrame, items: DataFrame, name: str) -> DataFrame:
+    """`records` with the array of their items (id, position, name), by position."""
+    lists = items.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "name"))), lambda x: x["name"]).alias(name))
+    return records.join(lists, "id", "left").withColumn(name, F.coalesce(name, F.array().cast("array<string>")))
+
+
+def last_of(rows: DataFrame, keys: list[str], position: str) -> DataFrame:
+    """One row of each key: the one at the last position."""
+    rest = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), position).alias("v")).select(*keys, "v.*")
