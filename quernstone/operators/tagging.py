@@ -1,12 +1,14 @@
 """Scored labels from vocabularies: cuisine, course and diet of a record.
 
 Records have id, title, description, ingredients and instructions (arrays of texts).
-Vocabularies are tables that the caller names: large word lists are data, not code.
-They have one row per label, so they are sized before they are broadcast.
+Vocabularies are lists that the caller gives or loads from a file: large word lists are
+data, not code. They are part of the plan, as an array of one struct per label.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,21 +56,29 @@ def _lines(df: DataFrame) -> dict[str, Column]:
     }
 
 
-def _labelled(df: DataFrame, vocabulary: DataFrame, score: Column, domain: str) -> DataFrame:
-    joined = df.select("id", *(c.alias(n) for n, c in _lines(df).items())).crossJoin(F.broadcast(vocabulary))
+def load_vocabulary(path: str) -> list[tuple]:
+    """(label, title words, ingredient words, step words) of a JSON array of arrays."""
+    with open(path, encoding="utf-8") as file:
+        return [tuple(row) for row in json.load(file)]
+
+
+def _labelled(df: DataFrame, vocabulary: list[tuple], score: Column, domain: str) -> DataFrame:
+    words = lambda ws: F.array(*map(F.lit, ws)).cast("array<string>")
+    labels = F.array(*(F.struct(F.lit(n).alias("label"), F.lit(i).alias("ord"), words(t).alias("title_words"), words(p).alias("part_words"), words(s).alias("step_words")) for i, (n, t, p, s) in enumerate(vocabulary)))
+    joined = df.select("id", *(c.alias(n) for n, c in _lines(df).items()), F.inline(labels))
     found = joined.select("id", F.lit(domain).alias("domain"), "label", "ord", score.alias("confidence"))
     return found.where(F.col("confidence") >= LEAST)
 
 
-def cuisines(df: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """id, domain, label, ord, confidence; vocabulary: label, ord, title_words, part_words, step_words."""
+def cuisines(df: DataFrame, vocabulary: list[tuple]) -> DataFrame:
+    """id, domain, label, ord, confidence of every label at or above the threshold."""
     title = F.exists("title_words", lambda w: F.col("title_").contains(w)).cast("double")
     parts = F.least(_hits(F.col("part_words"), lambda w: F.exists("parts_", lambda p: p.contains(w))) / F.lit(2.0), F.lit(1.0))
     steps = F.least(_hits(F.col("step_words"), lambda w: F.col("steps_").contains(w)).cast("double"), F.lit(1.0))
     return _labelled(df, vocabulary, F.lit(0.35) * title + F.lit(0.35) * parts + F.lit(0.30) * steps, "cuisine")
 
 
-def courses(df: DataFrame, vocabulary: DataFrame) -> DataFrame:
+def courses(df: DataFrame, vocabulary: list[tuple]) -> DataFrame:
     """As `cuisines`; step_words are looked for in title, description and instructions together."""
     title = F.exists("title_words", lambda w: F.col("title_").contains(w)).cast("double")
     about = F.exists("title_words", lambda w: F.col("about_").contains(w)).cast("double")

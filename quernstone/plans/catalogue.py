@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quernstone.functions import urls
 from quernstone.operators import store
+from quernstone.plans import records
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,7 +22,7 @@ def url_normalize(spark, d):
     return _table(spark, d, "pages").select("page_id", *(c.alias(n) for n, c in urls.normalized(F.col("url")).items()))
 
 
-def label_counts(spark, d):
+def host_counts(spark, d):
     """How many pages each host has, by scheme."""
     return url_normalize(spark, d).groupBy("scheme", "host").agg(F.count(F.lit(1)).alias("pages"))
 
@@ -54,7 +55,7 @@ def search_tags(spark, d):
     return store.with_all_tags(tags, ["A", "N"])
 
 
-QUERIES: dict = {f.__name__: f for f in (url_normalize, label_counts, html_preview, lww_latest, lww_deleted, sync_watermark, search_text, search_tags)}
+QUERIES: dict = {f.__name__: f for f in (url_normalize, host_counts, html_preview, lww_latest, lww_deleted, sync_watermark, search_text, search_tags)}
 
 _P = r"'^([A-Za-z][A-Za-z0-9+.-]*)://(?:[^/?#@]*@)?([^/?#:]*)(?::([0-9]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$'"
 _URLS = f"""
@@ -67,7 +68,7 @@ n AS (SELECT page_id, scheme, host, port, path, scheme || '://' || host || coale
 """
 ORACLE: dict = {
     "url_normalize": _URLS + "SELECT * FROM n",
-    "label_counts": _URLS + "SELECT scheme, host, count(*) AS pages FROM n GROUP BY 1, 2",
+    "host_counts": _URLS + "SELECT scheme, host, count(*) AS pages FROM n GROUP BY 1, 2",
     "html_preview": "SELECT page_id, substring(html, 1, 200) || '...' AS preview FROM pages",
     "lww_latest": "SELECT user_id AS record, event_type AS field, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1",
     "lww_deleted": "SELECT user_id AS record, count(*) FILTER (event_type = 'signup') > 0 AND coalesce(max(ts) FILTER (event_type <> 'signup') <= max(ts) FILTER (event_type = 'signup'), true) AS deleted FROM events GROUP BY 1",
@@ -75,3 +76,5 @@ ORACLE: dict = {
     "search_text": "SELECT DISTINCT o_orderkey AS id, o_orderpriority AS title FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey LEFT JOIN part ON p_partkey = l_partkey WHERE o_orderpriority ILIKE '%URG%' OR p_name ILIKE '%URG%'",
     "search_tags": "SELECT o_orderkey AS id FROM orders o WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'A') AND EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'N')",
 }
+QUERIES |= records.QUERIES
+ORACLE |= records.ORACLE

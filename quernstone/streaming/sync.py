@@ -80,6 +80,17 @@ def merged(records: DataFrame, log: DataFrame, fields: list[str], now: Column, d
 
 def status(log: DataFrame, state: DataFrame) -> DataFrame:
     """One row: pending changes, known devices in order and last sync."""
-    waiting = log.agg(F.count_if(F.col("synced") == 0).alias("pending"))
-    known = state.agg(F.array_sort(F.collect_set("device")).alias("devices"), F.max("last_sync_at").alias("last_sync_at"))
-    return waiting.crossJoin(known)  # one row each
+    nothing = F.lit(None).cast("string")
+    rows = log.select((F.col("synced") == 0).alias("open"), nothing.alias("device"), nothing.alias("at"))
+    rows = rows.unionByName(state.select(F.lit(False).alias("open"), F.col("device").cast("string").alias("device"), F.col("last_sync_at").cast("string").alias("at")))
+    return rows.agg(F.count_if("open").alias("pending"), F.array_sort(F.collect_set("device")).alias("devices"), F.max("at").alias("last_sync_at"))
+
+
+def latest_stream(log: DataFrame, path: str, checkpoint: str) -> None:
+    """Last writer wins over a streamed log, until what is there now is read.
+
+    State is one row for each record and field, without expiry: late rows count. Each
+    batch replaces the table at `path`.
+    """
+    query = store.latest(log).writeStream.outputMode("complete").option("checkpointLocation", checkpoint)
+    query.trigger(availableNow=True).foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(path)).start().awaitTermination()
