@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quernstone.functions import durations
 from quernstone.operators import robots, store, tagging
-from quernstone.sources import records
+from quernstone.sources import interchange, records
 from quernstone.streaming import sync
 
 #: Small vocabularies for the driver's tables: label, title, ingredient and step words.
@@ -129,7 +129,16 @@ def stream_lww(spark, d):
     return spark.read.parquet(f"{at}/rows").select("record", "field", "value")
 
 
-QUERIES: dict = {f.__name__: f for f in (record_extract, extract_negative, cuisine_tags, course_tags, diet_tags, label_counts, durations_all, robots_decision, robots_cache_latest, fetch_accept, upsert, patch, change_log_unpivot, lww_merge, stream_lww)}
+def interchange_round_trip(spark, d):
+    """Records out as schema.org JSON and in again."""
+    none = F.lit(None).cast("string")
+    steps = F.array(F.struct(F.lit(1).alias("step_number"), F.col("p_type").alias("text")))
+    rows = _table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), none.alias("description"), F.split("p_name", " ").alias("ingredients"), steps.alias("instructions"), F.col("p_size").alias("prep"), F.lit(None).cast("int").alias("cook"), F.col("p_brand").alias("servings"), F.concat(F.lit("http://x/"), "p_partkey").alias("url"), F.array().cast("array<string>").alias("images"))
+    back = interchange.imported(interchange.exported(rows))
+    return back.select("url", "title", "description", F.array_join("ingredients", " ").alias("ingredients"), F.get("instructions", F.lit(0))["text"].alias("step"), "prep", "cook", "servings", "error")
+
+
+QUERIES: dict = {f.__name__: f for f in (record_extract, extract_negative, cuisine_tags, course_tags, diet_tags, label_counts, durations_all, robots_decision, robots_cache_latest, fetch_accept, upsert, patch, change_log_unpivot, lww_merge, stream_lww, interchange_round_trip)}
 
 _VOC = ", ".join(f"('{n}', {t}, {p}, {s}::VARCHAR[])" for n, t, p, s in CUISINES)
 _SIGNALS = f"""
@@ -160,5 +169,6 @@ w AS (SELECT user_id, max(v) FILTER (event_type = 'click') AS c, max(v) FILTER (
  bool_or(event_type = 'signup') AND coalesce(max(t) FILTER (event_type <> 'signup') <= max(t) FILTER (event_type = 'signup'), true) AS gone FROM l GROUP BY 1)
 SELECT c_custkey AS id, CASE WHEN gone OR c IS NULL THEN -1.0 ELSE c END::DOUBLE AS click, CASE WHEN gone OR e IS NULL THEN -1.0 ELSE e END::DOUBLE AS error,
  coalesce(gone, false)::INT AS deleted, CASE WHEN NOT coalesce(gone, true) AND (c IS NOT NULL OR e IS NOT NULL) THEN 'new' ELSE 'old' END AS updated_at FROM customer LEFT JOIN w ON user_id = c_custkey""",
+    "interchange_round_trip": "SELECT 'http://x/' || p_partkey AS url, p_name AS title, NULL AS description, p_name AS ingredients, p_type AS step, p_size AS prep, NULL AS cook, p_brand AS servings, NULL AS error FROM part",
     "stream_lww": "SELECT user_id AS record, event_type AS field, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1",
 }
