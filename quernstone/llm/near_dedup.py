@@ -11,7 +11,8 @@ a class are never paired. Candidates come in rounds. In a round every key links
 classes to the smallest of them, a star instead of all pairs. Classes linked so far
 form components, and keys whose classes are all in one component are done. Of the
 other keys, small ones (at most `pairs_below` classes) then compare all classes of
-different components; the classes of large ones go to the next round, whose fresh half
+different components (full sets meet only where sizes and parity bits leave a link
+possible, which loses none); the classes of large ones go to the next round, whose fresh half
 keys have more minhashes each, which part unlike classes and keep alike ones together.
 After the last round what is left of large keys is compared in full, so no candidate
 is dropped anywhere.
@@ -29,7 +30,6 @@ empty result. Only identifier and text take part.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,41 +41,83 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import common
 
+_BITS = 2048
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _SEED1, _SEED2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: close inputs have unlike outputs."""
-    x = (x ^ x >> np.uint64(30)) * _MIX1
-    x = (x ^ x >> np.uint64(27)) * _MIX2
-    return x ^ x >> np.uint64(31)
+    x = x ^ x >> np.uint64(30)
+    x *= _MIX1
+    x ^= x >> np.uint64(27)
+    x *= _MIX2
+    x ^= x >> np.uint64(31)
+    return x
 
 
-def _word_hash(word: bytes) -> int:
-    return zlib.crc32(word) << 32 | zlib.adler32(word) ^ zlib.crc32(word[::-1])
+def _tables_of_bytes() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A value for every byte, 0 for white space, and which bytes stand in words and the powers of the base."""
+    value = _mixed(np.arange(1, 257, dtype=np.uint64) * _SEED1)
+    value[65:91] = value[97:123]
+    inside = np.ones(256, bool)
+    inside[[9, 10, 11, 12, 13, 32]] = False
+    value[~inside] = 0
+    return value, inside, np.concatenate([np.ones(1, np.uint64), np.full(_PIECE - 1, _BASE, np.uint64)]).cumprod(dtype=np.uint64)
 
 
-def shingles(text: str | None, k: int, known: dict | None = None) -> np.ndarray:
+#: Bytes of a text that are hashed at a time, and the odd base of the polynomial.
+_PIECE, _BASE = 1 << 18, np.uint64(0xA24BAED4963EE407)
+_BACK = np.uint64(pow(int(_BASE), -1, 1 << 64))
+_VALUE, _INSIDE, _POWER = _tables_of_bytes()
+_INVERSE = np.concatenate([np.ones(1, np.uint64), np.full(_PIECE - 1, _BACK, np.uint64)]).cumprod(dtype=np.uint64)
+
+
+def _word_codes(data: bytes) -> np.ndarray:
+    """A 64-bit hash of every word: a polynomial in its bytes, A to Z as lower case.
+
+    A piece of the text at a time; a word that goes on in the next piece adds up.
+    """
+    codes, open_, shift = [], False, np.ones(1, np.uint64)
+    for at in range(0, len(data), _PIECE):
+        piece = np.frombuffer(data, np.uint8, min(_PIECE, len(data) - at), at)
+        inside = _INSIDE[piece]
+        starts = np.flatnonzero(inside[1:] & ~inside[:-1]) + 1
+        if inside[0]:
+            starts = np.concatenate([np.zeros(1, np.int64), starts])
+        if not len(starts):
+            open_ = False
+            continue
+        code = np.add.reduceat(_VALUE[piece] * _POWER[: len(piece)], starts) * _INVERSE[starts]
+        if open_ and inside[0]:
+            codes[-1][-1:] += code[:1] * shift
+            code = code[1:]
+        # How far the last word has come when the next piece starts.
+        grown = np.array([pow(int(_BASE), len(piece) - int(starts[-1]), 1 << 64)], np.uint64)
+        shift = shift * grown if open_ and inside[0] and len(starts) == 1 else grown
+        open_ = bool(inside[-1])
+        if len(code):
+            codes.append(code)
+    return np.concatenate(codes) if codes else np.empty(0, np.uint64)
+
+
+def shingles(text: str | None, k: int) -> np.ndarray:
     """The sorted distinct 64-bit hashes of a whole text's shingles of `k` words.
 
     Letters A to Z count as lower case; words part at ASCII white space.
     """
-    words = (text or "").encode().lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    known = {} if known is None else known
-    if len(known) > 500_000:
-        known.clear()
-    for w in set(words):
-        if w not in known:
-            known[w] = _word_hash(w)
-    code = _mixed(np.array([known[w] for w in words], np.uint64))
-    size = min(k, len(words))
+    code = _word_codes((text or "").encode())
+    if not len(code):
+        return code
+    code = _mixed(code)
+    size = min(k, len(code))
     out = np.full(len(code) - size + 1, size, np.uint64)
     for i in range(size):
-        out = _mixed(out * _SEED2 + code[i : len(code) - size + 1 + i] + _SEED1)
-    return np.unique(out)
+        out *= _SEED2
+        out ^= out >> np.uint64(29)
+        out += code[i : len(code) - size + 1 + i]
+    out = np.sort(_mixed(out))
+    return out[np.concatenate([np.ones(1, bool), out[1:] != out[:-1]])]
 
 
 def half_keys(sets: np.ndarray, count: int, width: int, seed: int) -> list[int]:
@@ -83,9 +125,10 @@ def half_keys(sets: np.ndarray, count: int, width: int, seed: int) -> list[int]:
     n = count * width
     salt = _mixed(np.arange(1, n + 1, dtype=np.uint64) * _SEED1 + np.uint64(seed))
     least = np.full(n, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(sets), 4096):
-        part = sets[at : at + 4096]
-        np.minimum(least, ((part[:, None] ^ salt[None, :]) * _MIX1).min(axis=0), out=least)
+    for at in range(0, len(sets), 2048):
+        part = salt[:, None] ^ sets[None, at : at + 2048]
+        part *= _MIX1
+        np.minimum(least, part.min(axis=1), out=least)
     least = _mixed(least).reshape(count, width)
     key = np.zeros(count, np.uint64)
     for i in range(width):
@@ -93,6 +136,15 @@ def half_keys(sets: np.ndarray, count: int, width: int, seed: int) -> list[int]:
     return key.view(np.int64).tolist()
 
 
+def parity(sets: np.ndarray) -> np.ndarray:
+    """Bits that tell for each of `_BITS` bins whether the set has an odd number of elements in it.
+
+    Two sets differ in as many elements, at least, as their bits differ.
+    """
+    odd = np.bincount((sets % np.uint64(_BITS)).astype(np.int64), minlength=_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def half_key_count(threshold: float, width: int, miss: float) -> int:
     p, m = threshold**width, 2
     while (1 - p) ** m + m * p * (1 - p) ** (m - 1) > miss:
@@ -101,35 +153,40 @@ def half_key_count(threshold: float, width: int, miss: float) -> int:
 
 
 def _signed(df: DataFrame, k: int, count: int, width: int, seed: int, whole: bool) -> DataFrame:
-    """`df` with its text `t` turned into n, a digest of the set, half keys and, if `whole`, the set."""
+    """`df` with its text `t` turned into n, a digest of the set, half keys and, if `whole`, the set and its parity bits."""
     kept = [f for f in df.schema.fields if f.name != "t"]
     df = df.select(*(f.name for f in kept), "t")
-    out = T.StructType([*kept, T.StructField("n", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("half", T.ArrayType(T.LongType())), T.StructField("items", T.ArrayType(T.LongType()))])
+    out = T.StructType([*kept, T.StructField("n", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("half", T.ArrayType(T.LongType())), T.StructField("bits", T.ArrayType(T.LongType())), T.StructField("items", T.ArrayType(T.LongType()))])
     schema = to_arrow_schema(out)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
 
-        known = common.worker_cache().setdefault("words", {})
         for b in batches:
-            n, digest, half, items = [], [], [], []
+            n, digest, half, bits, items = [], [], [], [], []
             for t in b.columns[-1]:
-                s = shingles(t.as_py(), k, known)
+                s = shingles(t.as_py(), k)
                 n.append(len(s))
                 digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 half.append(half_keys(s, count, width, seed) if len(s) and count else None)
+                bits.append(parity(s) if whole else None)
                 items.append(s.view(np.int64) if whole else None)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(half, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.int64()))], schema=schema)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(half, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.int64()))], schema=schema)
 
     return df.mapInArrow(sign, out)
 
 
-def _tables(df: DataFrame, count: int, base: str) -> DataFrame:
-    """A row for every pair of half keys: node, key."""
-    pairs = F.flatten(
-        F.transform(F.sequence(F.lit(0), F.lit(count - 2)), lambda i: F.transform(F.sequence(i + 1, F.lit(count - 1)), lambda j: F.xxhash64(F.col(base), i, j, F.get("half", i), F.get("half", j))))
-    )
-    return df.select("node", F.explode(pairs).alias("key"))
+def _tables(spark: SparkSession, df: DataFrame, turn: int) -> DataFrame:
+    """A row for every pair of half keys: node, key.
+
+    A pair is shared only if both of its halves are, so halves of one node go first.
+    """
+    halves = df.select("node", F.posexplode("half").alias("i", "h"))
+    shared = halves.groupBy("i", "h").agg(F.count(F.lit(1)).alias("many")).where("many > 1").select("i", "h")
+    held = halves.join(shared, ["i", "h"]).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("i", "h"))).alias("held")).where(F.size("held") > 1)
+    held = common.written(spark, held, "near-half")
+    pairs = F.flatten(F.transform("held", lambda x, at: F.transform(F.slice("held", at + 2, F.size("held")), lambda y: F.xxhash64(F.lit(turn), x["i"], y["i"], x["h"], y["h"]))))
+    return held.select("node", F.explode(pairs).alias("key"))
 
 
 def components(spark: SparkSession, links: DataFrame, most: int = 60) -> DataFrame:
@@ -165,10 +222,13 @@ def _links(spark: SparkSession, pairs: DataFrame, sets: DataFrame, percent: int)
     return joined.where(both * 100 >= (F.size("x") + F.size("y") - both) * percent).select("a", "b")
 
 
-def _near_size(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Without the pairs (a, b) whose sets differ too much in size to be linked."""
-    first, second = classes.select(F.col("node").alias("a"), F.col("n").alias("x")), classes.select(F.col("node").alias("b"), F.col("n").alias("y"))
-    return pairs.join(first, "a").join(second, "b").where(F.least("x", "y") * 100 >= F.greatest("x", "y") * percent).select("a", "b")
+def _maybe(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Without the pairs (a, b) whose sizes or parity bits rule a link out."""
+    first, second = (sets.select(F.col("node").alias(node), F.col("n").alias(n), F.col("bits").alias(bits)) for node, n, bits in (("a", "x", "p"), ("b", "y", "q")))
+    apart = F.aggregate(F.zip_with("p", "q", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda total, one: total + one)
+    both = F.col("x") + F.col("y")
+    near = (F.least("x", "y") * 100 >= F.greatest("x", "y") * percent) & (apart * (100 + percent) <= both * (100 - percent))
+    return pairs.join(first, "a").join(second, "b").where(near).select("a", "b")
 
 
 def grouped(
@@ -186,21 +246,21 @@ def grouped(
     """A row for every document: id, at_file, at_row, n, component, first."""
     count = half_key_count(percent / 100, width, miss)
     rows = common.located(spark, docs, {"id": id_col, "t": text_col}, "near-docs").withColumn("id", F.col("id").cast("bigint"))
-    signed = common.written(spark, _signed(rows, k, count, width, 0, False).drop("items"), "near-signed")
-    classes = signed.where("n > 0").groupBy("digest").agg(F.min(F.struct(F.col("id").isNull(), "id", "at_file", "at_row")).alias("rep"), F.max("n").alias("n"), F.any_value("half").alias("half"))
-    classes = classes.select("digest", "n", "half", F.col("rep.at_file").alias("at_file"), F.col("rep.at_row").alias("at_row"), F.monotonically_increasing_id().alias("node"))
+    signed = common.written(spark, _signed(rows, k, count, width, 0, False).drop("bits", "items"), "near-signed")
+    classes = signed.where("n > 0").groupBy("digest").agg(F.min(F.struct(F.col("id").isNull(), "id", "at_file", "at_row")).alias("rep"), F.any_value("half").alias("half"))
+    classes = classes.select("digest", "half", F.col("rep.at_file").alias("at_file"), F.col("rep.at_row").alias("at_row"), F.monotonically_increasing_id().alias("node"))
     classes = common.written(spark, classes, "near-classes")
 
     root = None  # node and root of what is linked so far
-    keys = _tables(classes.withColumn("base", F.lit(0).cast("bigint")), count, "base")
+    keys = _tables(spark, classes.select("node", "half"), 0)
     links = None
     for turn in range(rounds):
         met = keys.groupBy("key").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("many")).where("many > 1")
         met = common.written(spark, met, "near-keys")
         shared = common.written(spark, keys.join(met.select("key", "least", "many"), "key"), "near-shared")
         star = shared.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
-        star = common.written(spark, _near_size(star, classes, percent), "near-stars")
         sets = _sets(spark, rows, classes, shared.select("node").distinct(), k)
+        star = common.written(spark, _maybe(star, sets, percent), "near-stars")
         links = _together(spark, links, _links(spark, star, sets, percent))
         root = components(spark, links)
         # Keys whose classes are not all in one component yet.
@@ -211,7 +271,7 @@ def grouped(
         few = open_ if last else open_.where(F.col("many") <= pairs_below)
         one, two = few.select("key", F.col("node").alias("a"), F.col("root").alias("ra")), few.select("key", F.col("node").alias("b"), F.col("root").alias("rb"))
         pairs = one.join(two, "key").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb"))).select("a", "b").distinct()
-        pairs = common.written(spark, _near_size(pairs, classes, percent).join(star, ["a", "b"], "left_anti"), "near-pairs")
+        pairs = common.written(spark, _maybe(pairs, sets, percent).join(star, ["a", "b"], "left_anti"), "near-pairs")
         links = _together(spark, links, _links(spark, pairs, sets, percent))
         many = open_.where(F.col("many") > pairs_below).select("node").distinct()
         if last or not many.limit(1).count():
@@ -219,7 +279,7 @@ def grouped(
         wide = width + 2 * (turn + 1)
         count = half_key_count(percent / 100, wide, miss)
         fresh = common.written(spark, _signed(_texts(spark, rows, classes, many), k, count, wide, turn + 1, False).select("node", "half"), "near-fresh")
-        keys = _tables(fresh.withColumn("base", F.lit(turn + 1).cast("bigint")), count, "base")
+        keys = _tables(spark, fresh, turn + 1)
 
     root = components(spark, links)
     of_class = classes.join(root, "node", "left").select("digest", F.coalesce("root", "node").alias("root"))
@@ -244,7 +304,7 @@ def _texts(spark: SparkSession, rows: DataFrame, classes: DataFrame, nodes: Data
 
 def _sets(spark: SparkSession, rows: DataFrame, classes: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     """node and the full set of classes that share a key."""
-    return common.written(spark, _signed(_texts(spark, rows, classes, nodes), k, 0, 1, 0, True).select("node", "items"), "near-sets")
+    return common.written(spark, _signed(_texts(spark, rows, classes, nodes), k, 0, 1, 0, True).select("node", "n", "bits", "items"), "near-sets")
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
