@@ -5,9 +5,9 @@ chooses the bucket boundaries that minimise padding: every document is padded to
 boundary of its bucket. Inside each bucket documents are numbered without gaps, and
 each batch takes as many as a budget of padded tokens holds.
 
-The histogram that reaches the driver has at most `levels` lengths: where there are
-more, lengths are first rounded up to multiples of the smallest step that brings them
-under it, and the boundaries are optimal among those multiples. Numbering sorts by
+The dynamic program is exact over all distinct lengths, at every size. That many lengths
+need at least half their square of words, so the histogram that reaches the driver has at
+most about the root of twice the corpus's words as rows. Numbering sorts by
 pieces: a bucket is dealt over shards by a hash of the row, ranks are taken within
 shards, and running totals of the shards' sizes make them consecutive; no bucket
 comes together in one task, and only the last batch of a bucket is not full.
@@ -30,25 +30,35 @@ from . import common
 def boundaries(lengths: list[int], counts: list[int], buckets: int) -> list[int]:
     """At most `buckets` boundaries, ascending, with the least total padding.
 
-    best[k][j]: the least padding of the j smallest lengths in k buckets; the last
-    bucket then ends at lengths[j - 1] and starts after some i.
+    best[j]: the least padding of the j smallest lengths in the buckets so far; the last
+    bucket then ends at lengths[j - 1] and starts after some i. The first of the best
+    such i never falls as j grows (padding satisfies the quadrangle inequality), so those
+    of every second j bound the search for the j between: n log n steps a bucket.
     """
-    x, n = np.array(lengths, float), np.concatenate(([0.0], np.cumsum(counts)))
-    total = np.concatenate(([0.0], np.cumsum(x * counts)))
+    x, number = np.array(lengths, np.int64), np.array(counts, np.int64)
     size = len(x)
     if not size:
         return []
-    best, cuts = np.full(size + 1, np.inf), []
-    best[0] = 0.0
-    for _ in range(min(buckets, size)):
-        new, cut = np.full(size + 1, np.inf), np.zeros(size + 1, int)
-        new[0] = 0.0
-        for j in range(1, size + 1):
-            cost = best[:j] + x[j - 1] * (n[j] - n[:j]) - (total[j] - total[:j])
-            cut[j] = int(cost.argmin())
-            new[j] = cost[cut[j]]
+    n, total = np.concatenate(([0], np.cumsum(number))), np.concatenate(([0], np.cumsum(x * number)))
+    last = np.concatenate(([0], x))
+    best, cuts = last * n - total, [np.zeros(size + 1, np.int32)]
+    for _ in range(min(buckets, size) - 1):
+        new, cut = np.zeros(size + 1, np.int64), np.zeros(size + 2, np.int32)
+        cut[-1] = size - 1
+        step = 1 << size.bit_length()
+        while step := step >> 1:
+            j = np.arange(step, size + 1, 2 * step)
+            low, high = cut[j - step].astype(np.int64), np.minimum(cut[np.minimum(j + step, size + 1)], j - 1)
+            widths = high - low + 1
+            starts = np.cumsum(widths) - widths
+            i = np.arange(widths.sum()) + np.repeat(low - starts, widths)
+            own = np.repeat(j, widths)
+            cost = best[i] + last[own] * (n[own] - n[i]) - (total[own] - total[i])
+            new[j] = np.minimum.reduceat(cost, starts)
+            hits = np.flatnonzero(cost == np.repeat(new[j], widths))
+            cut[j] = i[hits[np.searchsorted(hits, starts)]]
         best = new
-        cuts.append(cut)
+        cuts.append(cut[:-1])
     ends, j = [], size
     for cut in reversed(cuts):
         if j == 0:
@@ -59,7 +69,7 @@ def boundaries(lengths: list[int], counts: list[int], buckets: int) -> list[int]
 
 
 def packed(
-    spark: SparkSession, docs: DataFrame, buckets: int = 16, budget: int = 65_536, levels: int = 2048, id_col: str = "doc_id", text_col: str = "text", shard_rows: int = 50_000
+    spark: SparkSession, docs: DataFrame, buckets: int = 16, budget: int = 65_536, id_col: str = "doc_id", text_col: str = "text", shard_rows: int = 50_000
 ) -> DataFrame:
     """A row for every document: doc_id, length, bucket, padded, batch, slot, batch_rows.
 
@@ -72,20 +82,17 @@ def packed(
         F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).alias("mix"),
     )
     rows = common.written(spark, rows, "packing-lengths")
-    by_length = rows.groupBy("length").agg(F.count(F.lit(1)).alias("n"))
-    top = by_length.agg(F.count(F.lit(1)).alias("k"), F.max("length").alias("longest"), F.sum("n").alias("rows")).first()
-    if not top["k"]:
+    histogram = rows.groupBy("length").agg(F.count(F.lit(1)).alias("n")).toArrow().sort_by("length")  # a row for each distinct length
+    if not len(histogram):
         return rows.select(F.col("id").alias(id_col), "length", *(F.lit(0).cast(t).alias(c) for c, t in (("bucket", "int"), ("padded", "bigint"), ("batch", "bigint"), ("slot", "bigint"), ("batch_rows", "bigint"))))
-    step = 1 if top["k"] <= levels else -(-top["longest"] // (levels - 1))
-    level = F.ceil(F.col("length") / step).cast("bigint") * step
-    histogram = by_length.groupBy(level.alias("level")).agg(F.sum("n").alias("n")).orderBy("level").collect()  # at most `levels` rows
-    ends = boundaries([r["level"] for r in histogram], [r["n"] for r in histogram], buckets)
+    counts = histogram["n"].to_pylist()
+    ends = boundaries(histogram["length"].to_pylist(), counts, buckets)
 
     bucket, padded = F.lit(len(ends) - 1), F.lit(ends[-1])
     for i in range(len(ends) - 2, -1, -1):
         inside = F.col("length") <= ends[i]
         bucket, padded = F.when(inside, i).otherwise(bucket), F.when(inside, ends[i]).otherwise(padded)
-    shards = max(8, top["rows"] // (shard_rows * len(ends)) + 1)
+    shards = max(8, sum(counts) // (shard_rows * len(ends)) + 1)
     rows = rows.withColumns({"bucket": bucket, "padded": padded.cast("bigint"), "shard": F.pmod("mix", F.lit(shards))})
 
     sizes = rows.groupBy("bucket", "shard").agg(F.count(F.lit(1)).alias("n"))

@@ -73,6 +73,35 @@ def test_boundaries_are_optimal():
     assert padding(length_buckets.boundaries(lengths, counts, 3)) == best
 
 
+def _least_padding(lengths, counts, buckets):
+    """The quadratic dynamic program, over every pair of lengths."""
+    x, n = np.array(lengths), np.concatenate(([0], np.cumsum(counts)))
+    total = np.concatenate(([0], np.cumsum(x * counts)))
+    best = np.concatenate(([0], x * n[1:] - total[1:]))
+    for _ in range(buckets - 1):
+        best = np.array([0, *((best[:j] + x[j - 1] * (n[j] - n[:j]) - (total[j] - total[:j])).min() for j in range(1, len(x) + 1))])
+    return best[-1]
+
+
+def test_boundaries_match_the_quadratic_program():
+    random = np.random.default_rng(5)
+    for size in (1, 2, 7, 8, 33, 300):
+        lengths, counts = np.sort(random.choice(3 * size, size, replace=False)).tolist(), random.integers(1, 9, size).tolist()
+        for buckets in (1, 2, 5, 400 if size < 300 else 16):
+            ends = length_buckets.boundaries(lengths, counts, buckets)
+            assert len(ends) <= buckets and ends == sorted(set(ends)) and ends[-1] == lengths[-1]
+            padding = sum(n * (ends[np.searchsorted(ends, x)] - x) for x, n in zip(lengths, counts, strict=True))
+            assert padding == _least_padding(lengths, counts, min(buckets, size))
+
+
+def test_many_lengths_are_not_coarsened_by_a_long_text(spark):
+    rows = spark.range(2200).selectExpr("id as doc_id", "repeat('a ', cast(if(id = 2199, 100000, 1 + id) as int)) as text")
+    found = length_buckets.packed(spark, rows).toPandas()
+    lengths = [*range(1, 2200), 100000]
+    assert sorted(found.length) == lengths
+    assert (found.padded - found.length).sum() == _least_padding(lengths, [1] * 2200, 16)
+
+
 def test_batches_have_no_gaps(spark, docs, empty):
     found = length_buckets.packed(spark, docs, buckets=2, budget=100).toPandas()
     assert len(found) == len(ROWS)
