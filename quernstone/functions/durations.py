@@ -46,3 +46,36 @@ def leading_number(text: Column) -> Column:
 
 def export_minutes(minutes: Column) -> Column:
     return F.concat(F.lit("PT"), minutes.cast("string"), F.lit("M"))
+
+
+def first_token(text: Column) -> Column:
+    """What stands before the first white space that follows anything else."""
+    return F.regexp_extract(text, r"(?U)^\s*(\S+)", 1)
+
+
+def first_count(text: Column) -> Column:
+    """The first token as a non-negative integer of 32 bits."""
+    return _count(first_token(text))
+
+
+def first_float(text: Column) -> Column:
+    """The first token as a number."""
+    token = F.lower(first_token(text))
+    number = F.when(token.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?$|^[+-]?(inf|infinity|nan)$"), F.regexp_replace(token, "^[+-](?=nan)", ""))
+    return number.try_cast("double")
+
+
+def plain(number: Column) -> Column:
+    """A number in decimal digits, without an exponent; integral ones without a point."""
+    text = F.regexp_replace(F.regexp_replace(number.cast("string"), "Infinity", "inf"), r"\.0(?=E|$)", "")
+    sign, digits = F.when(text.startswith("-"), "-").otherwise(""), F.regexp_replace(F.regexp_extract(text, "^-?([0-9.]+)E", 1), r"\.", "")
+    power = F.regexp_extract(text, "E(-?[0-9]+)$", 1).try_cast("int")
+    whole = F.greatest(power, F.length(digits) - 1)
+    padded = F.rpad(digits, whole + 1, "0")
+    large = F.concat(F.substring(padded, F.lit(1), power + 1), F.when(whole > power, F.concat(F.lit("."), F.substring(padded, power + 2, whole - power))).otherwise(""))
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
+    return F.when(power.isNull(), text).otherwise(F.concat(sign, F.when(power < 0, small).otherwise(large)))
+
+
+def with_unit(number: Column, unit: str) -> Column:
+    return F.concat(plain(number), F.lit(f" {unit}"))

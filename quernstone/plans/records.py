@@ -129,13 +129,27 @@ def stream_lww(spark, d):
     return spark.read.parquet(f"{at}/rows").select("record", "field", "value")
 
 
+def _extras(title, number, brand):
+    """The further properties of a record, of its other values."""
+    tag = lambda label: F.array(F.struct(label.alias("label"), (number / 64).alias("confidence")))
+    counts = ("calories", "sodium_mg")
+    return {
+        "nutrition": F.struct(*(number.cast("bigint").alias(n) if n in counts else (number / 4 + i).alias(n) for i, (n, *_) in enumerate(interchange.NUTRITION))),
+        "source": F.element_at(F.array(*map(F.lit, ("json_ld", "microdata", "ai_fallback"))), number % 3 + 1),
+        "tags": F.struct(tag(title).alias("cuisine"), tag(brand).alias("course"), F.slice(tag(brand), 1, number % 2).alias("diet")),
+        "notes": F.concat(F.lit("of "), brand),
+        "ingredients_parsed": F.transform(F.split(title, " "), lambda w: F.struct(F.upper(w).alias("name"), (number / 2).alias("quantity"), F.when(number % 2 == 0, brand).alias("unit"), w.alias("raw_text"))),
+    }
+
+
 def interchange_round_trip(spark, d):
-    """Records out as schema.org JSON and in again."""
+    """Records out as schema.org JSON and in again; `error` also names properties that came back changed."""
     none = F.lit(None).cast("string")
     steps = F.array(F.struct(F.lit(1).alias("step_number"), F.col("p_type").alias("text")))
-    rows = _table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), none.alias("description"), F.split("p_name", " ").alias("ingredients"), steps.alias("instructions"), F.col("p_size").alias("prep"), F.lit(None).cast("int").alias("cook"), F.col("p_brand").alias("servings"), F.concat(F.lit("http://x/"), "p_partkey").alias("url"), F.array().cast("array<string>").alias("images"))
+    rows = _table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), none.alias("description"), F.split("p_name", " ").alias("ingredients"), steps.alias("instructions"), F.col("p_size").alias("prep"), F.lit(None).cast("int").alias("cook"), F.col("p_brand").alias("servings"), F.concat(F.lit("http://x/"), "p_partkey").alias("url"), F.array().cast("array<string>").alias("images"), *(c.alias(n) for n, c in _extras(F.col("p_name"), F.col("p_size").cast("int"), F.col("p_brand")).items()))
     back = interchange.imported(interchange.exported(rows))
-    return back.select("url", "title", "description", F.array_join("ingredients", " ").alias("ingredients"), F.get("instructions", F.lit(0))["text"].alias("step"), "prep", "cook", "servings", "error")
+    changed = F.concat_ws(", ", *(F.when(~F.col(n).eqNullSafe(c), f"changed {n}") for n, c in _extras(F.col("title"), F.col("prep").cast("int"), F.col("servings")).items()))
+    return back.select("url", "title", "description", F.array_join("ingredients", " ").alias("ingredients"), F.get("instructions", F.lit(0))["text"].alias("step"), "prep", "cook", "servings", F.coalesce("error", F.nullif(changed, F.lit(""))).alias("error"))
 
 
 QUERIES: dict = {f.__name__: f for f in (record_extract, extract_negative, cuisine_tags, course_tags, diet_tags, label_counts, durations_all, robots_decision, robots_cache_latest, fetch_accept, upsert, patch, change_log_unpivot, lww_merge, stream_lww, interchange_round_trip)}
