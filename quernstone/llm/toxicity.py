@@ -4,8 +4,9 @@ A document's terms are its distinct runs of letters, lower-cased, and the first
 five letters of each, for languages that inflect; all are hashed. Beside
 a weight for each term the model has a short vector, so that the product of two
 vectors scores the pair: an insult beside a group's name counts for more than both
-alone. Only terms whose presence goes with the label in the sample weigh anything: those of a
-likelihood ratio that chance gives one term in 10,000. It is fitted on the driver from a bounded sample of labelled rows (see
+alone. Vectors are kept for all terms met at least `least` times in the sample, so pairs
+tell whose terms alone do not. A weight of its own has only a term whose presence goes
+with the label: of a likelihood ratio that chance gives one term in 10,000. It is fitted on the driver from a bounded sample of labelled rows (see
 samples.py) and carried to the executors, whose scoring passes over whole texts
 without a shuffle. The sample holds both classes in equal parts; the intercept is
 moved back to the labelled rows' own odds.
@@ -47,7 +48,7 @@ def terms(text: str) -> np.ndarray:
 class Machine:
     """score = bias + sum w x + sum over pairs of (v_i . v_j) z_i z_j, through a sigmoid.
 
-    x is 1 for a present term that weighs; z is x over the root of their number, so
+    x is 1 for a present term with a vector; z is x over the root of their number, so
     that a long text's many pairs do not outweigh its terms."""
 
     bias: float
@@ -78,39 +79,46 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, odds: float, factors: int =
     """Adagrad over mini-batches of the logistic loss; the seed and order are fixed."""
     random = np.random.default_rng(7)
     known = np.bincount(np.concatenate([*rows, np.empty(0, np.int32)]).astype(np.int64), minlength=BINS)
-    values = ((known >= least) & (association(rows, known, labels) >= 15)).astype(np.float32)
-    w, v = np.zeros(BINS, np.float32), np.zeros((BINS, factors), np.float32)
-    v[values > 0] = random.normal(0, 0.01, (int((values > 0).sum()), factors))
-    gw, gv, bias, gb = np.ones(BINS, np.float32), np.ones((BINS, factors), np.float32), 0.0, 1.0
-    rows = [r[values[r] > 0] for r in rows]
+    values = (known >= least).astype(np.float32)
+    own = np.flatnonzero(values)  # the terms with a vector, which the steps count from 0
+    weighs = association(rows, known, labels)[own] >= 15
+    weights, vectors = np.zeros(BINS, np.float32), np.zeros((BINS, factors), np.float32)
     if len(set(labels.tolist())) < 2:
-        return Machine(float(np.log(odds)), w, v, np.zeros_like(values))
+        return Machine(float(np.log(odds)), weights, vectors, np.zeros_like(values))
+    size, place = len(own), np.cumsum(values > 0) - 1
+    w, v = np.zeros(size, np.float32), random.normal(0, 0.01, (size, factors)).astype(np.float32)
+    gw, gv, bias, gb = np.ones(size, np.float32), np.ones((size, factors), np.float32), 0.0, 1.0
+    rows = [place[r[values[r] > 0]] for r in rows]
     for _ in range(epochs):
         order = random.permutation(len(rows))
         for at in range(0, len(order), batch):
             part = order[at : at + batch]
-            ids = np.concatenate([rows[i] for i in part]).astype(np.int64)
-            row = np.repeat(np.arange(len(part)), [len(rows[i]) for i in part])
-            own, place = np.unique(ids, return_inverse=True)
-            z = (1 / np.sqrt(np.maximum(1, np.bincount(row, minlength=len(part)))))[row]
-            scaled = v[ids] * z[:, None]
-            sums = np.stack([np.bincount(row, scaled[:, f], len(part)) for f in range(factors)], 1)
-            squares = np.bincount(row, (scaled**2).sum(1), len(part))
-            logit = bias + np.bincount(row, w[ids], len(part)) + 0.5 * ((sums**2).sum(1) - squares)
+            ids = np.concatenate([rows[i] for i in part])
+            n = np.array([len(rows[i]) for i in part])
+            z = 1 / np.sqrt(np.maximum(1, n))
+            row, full = np.repeat(np.arange(len(part)), n), np.flatnonzero(n)
+            sums = np.zeros((len(part), factors))
+            if len(full):
+                sums[full] = np.add.reduceat(np.take(v, ids, axis=0), (np.cumsum(n) - n)[full], axis=0) * z[full, None]
+            squares = np.bincount(row, np.take((v**2).sum(1), ids), len(part)) * z**2
+            logit = bias + np.bincount(row, np.take(w, ids), len(part)) + 0.5 * ((sums**2).sum(1) - squares)
             slope = 1 / (1 + np.exp(-np.clip(logit, -30, 30))) - labels[part]
-            each = slope[row]
-            dw = np.bincount(place, each, len(own)) + decay * w[own]
-            pull = (sums[row] - scaled) * (each * z)[:, None]
-            dv = np.stack([np.bincount(place, pull[:, f], len(own)) for f in range(factors)], 1) + decay * v[own]
+            each = lambda x: np.bincount(ids, np.repeat(x, n), size).astype(float)  # noqa: B023, E731
+            held = np.where(np.bincount(ids, minlength=size) > 0, decay, 0.0)  # only terms of this batch decay
+            dw = (each(slope) + held * w) * weighs
+            pull = sums * (slope * z)[:, None]
+            dv = np.stack([each(pull[:, f]) for f in range(factors)], 1)
+            dv += (held - each(slope * z**2))[:, None] * v
             db = float(slope.sum())
-            gw[own] += dw**2
-            gv[own] += dv**2
+            gw += dw**2
+            gv += dv**2
             gb += db**2
-            w[own] -= rate * dw / np.sqrt(gw[own])
-            v[own] -= 0.1 * rate * dv / np.sqrt(gv[own])
+            w -= (rate * dw / np.sqrt(gw)).astype(np.float32)
+            v -= (0.1 * rate * dv / np.sqrt(gv)).astype(np.float32)
             bias -= rate * db / np.sqrt(gb)
+    weights[own], vectors[own] = w, v
     share = labels.mean()
-    return Machine(float(bias + np.log(odds) - np.log(share / (1 - share))), w, v, values)
+    return Machine(float(bias + np.log(odds) - np.log(share / (1 - share))), weights, vectors, values)
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", most_per_class: int = 6000) -> Machine:

@@ -152,6 +152,20 @@ def test_classifiers_take_odd_rows(spark, docs, empty):
     assert language.inferred(empty, language.learn(empty)).count() == 0
 
 
+def test_pairs_tell_where_no_term_does():
+    random = np.random.default_rng(2)
+
+    def rows(n):
+        left, right = random.integers(0, 2, (2, n))
+        fill = [" ".join(f"f{chr(97 + i)}" for i in random.choice(20, 3, replace=False)) for _ in range(n)]
+        return [toxicity.terms(f"l{'xy'[a]} r{'xy'[b]} {f}") for a, b, f in zip(left, right, fill, strict=True)], (left == right).astype(float)
+
+    terms, labels = rows(2000)
+    machine = toxicity.fit(terms, labels, 1.0)
+    terms, labels = rows(500)
+    assert np.mean([(machine.logit(t) > 0) == y for t, y in zip(terms, labels, strict=True)]) > 0.95
+
+
 def test_near_dedup_word_codes_and_parity(monkeypatch):
     texts = ["a B c a b", "  x\ty ", "", "é É z", "w" * 40 + " q", "one"]
     whole = [near_dedup._word_codes(t.encode()).tolist() for t in texts]
