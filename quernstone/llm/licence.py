@@ -163,18 +163,15 @@ def known(spark: SparkSession, texts: list[tuple[str, str]] = LICENCES) -> DataF
 def scanned(spark: SparkSession, docs: DataFrame, texts: list[tuple[str, str]] = LICENCES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for every document: id, canonical_sha256, licence (null: none), notices.
 
-    `notices` joins the licences of single lines, sorted and distinct, with commas. A
-    line is canonicalised and hashed only if it holds a word of some known one-line
-    notice, which all matches do.
+    `notices` joins the licences of single lines, sorted and distinct, with commas. Every
+    line is canonicalised and looked up by its digest.
     """
     whole = known(spark, texts)
     rows = {r["digest"]: r["licence"] for r in known(spark, [t for t in texts if "\n" not in t[1]]).collect()}  # a few notices
     names = F.create_map(*(F.lit(x) for item in rows.items() for x in item)) if rows else F.create_map().cast("map<string,string>")
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("t"))
-    telling = F.lower("t").rlike(r"licen[sc]e|public domain")
-    lines = F.filter(F.split("t", "\n"), lambda x: F.lower(x).rlike(r"licen[sc]e|public domain"))
-    found = F.transform(lines, lambda x: F.try_element_at(names, digest(x)))
-    notices = F.when(telling, F.array_join(F.array_sort(F.array_distinct(F.filter(found, lambda x: x.isNotNull()))), ",")).otherwise("")
+    found = F.transform(F.split("t", "\n"), lambda x: F.try_element_at(names, digest(x)))
+    notices = F.array_join(F.array_sort(F.array_distinct(F.filter(found, lambda x: x.isNotNull()))), ",")
     keyed = rows.select("id", digest(F.col("t")).alias("digest"), notices.alias("notices"))
     return keyed.join(F.broadcast(whole), "digest", "left").select("id", F.col("digest").alias("canonical_sha256"), "licence", "notices")
 

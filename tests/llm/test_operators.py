@@ -141,6 +141,14 @@ def test_licences_are_found_by_canonical_text(spark, docs, empty):
     assert licence.scanned(spark, empty).count() == 0 and licence.scanned(spark, docs).count() == len(ROWS)
 
 
+def test_notices_are_found_whatever_their_words_and_spacing(spark):
+    texts = ["x\nDedicated to the public-domain under CC0 1.0.", "Dedicated to the public  domain under CC0 1.0.\ny", "a\nGPLv3 only.", "public domain"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = lambda **kw: [r.notices for r in licence.scanned(spark, rows, **kw).orderBy("id").collect()]
+    assert found() == ["CC0-1.0", "CC0-1.0", "", ""]
+    assert found(texts=[("GPL-3.0", "GPLv3 only")]) == ["", "", "GPL-3.0", ""]
+
+
 def test_classifiers_take_odd_rows(spark, docs, empty):
     labels = spark.createDataFrame([(1, 1, 0), (6, 0, 1), (None, 1, 1), (7, None, None)], "doc_id bigint, quality int, toxic int")
     for module in (toxicity, quality):
