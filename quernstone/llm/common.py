@@ -26,17 +26,42 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shared_dir(spark: SparkSession, tag: str) -> str:
     """A fresh folder below the one that driver and executors share.
 
-    That is the session's `spark.checkpoint.dir`; where it is unset, as in a
-    local session, a temporary folder becomes the checkpoint folder.
+    That is the session's `spark.checkpoint.dir`. Where it is unset, a session on this
+    machine alone makes a temporary folder its checkpoint folder; on a cluster, whose
+    executors would each write to a disk of their own, it is an error.
     """
     context = spark.sparkContext
     root = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not root:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = f"file://{tempfile.mkdtemp(prefix='quernstone-')}"
         context.setCheckpointDir(root)
     return f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex[:12]}"
 
 
+class Scratch:
+    """Tables of one call in a shared folder of their own; later reads need no lineage."""
+
+    def __init__(self, spark: SparkSession, tag: str) -> None:
+        self.spark, self.folder, self.made = spark, shared_dir(spark, tag), []
+
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        """`df`, written and read again."""
+        path = f"{self.folder}/{name}-{len(self.made)}"
+        self.made.append((name, path))
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop_all_but(self, *names: str) -> None:
+        """Deletes the tables that no result reads any more."""
+        for name, path in self.made:
+            if name not in names:
+                at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+                at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+        self.made = [x for x in self.made if x[0] in names]
+
+
 def written(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:
     """`df` as a table in the shared folder: later reads need none of its lineage."""
     path = shared_dir(spark, tag)
@@ -69,9 +94,13 @@ def located(spark: SparkSession, df: DataFrame, columns: dict[str, str], tag: st
     )
 
 
-def broadcast_if_small(df: DataFrame, rows: int, most: int = 500_000) -> DataFrame:
-    """Broadcasts `df` where its counted rows are few; the join is the same either way."""
-    return F.broadcast(df) if rows <= most else df
+def broadcast_if_small(df: DataFrame, rows: int, most_bytes: int = 16 << 20) -> DataFrame:
+    """Broadcasts `df` where its counted rows take at most `most_bytes`; the join is the same either way.
+
+    Columns must be numbers or digests: 8 bytes a number, 80 a string or binary.
+    """
+    width = 16 + sum(80 if f.dataType.typeName() in ("string", "binary") else 8 for f in df.schema.fields)
+    return F.broadcast(df) if rows * width <= most_bytes else df
 
 
 def held_out(doc_id: F.Column, folds: int, fold: int) -> F.Column:
@@ -80,7 +109,10 @@ def held_out(doc_id: F.Column, folds: int, fold: int) -> F.Column:
 
 
 def arrow_rows(spark: SparkSession, rows: int = 1000) -> None:
-    """Lowers the rows of an Arrow batch, which bounds the memory of Python workers."""
+    """Lowers the rows of an Arrow batch, which bounds the memory of Python workers.
+
+    Spark bounds a batch's bytes by spark.sql.execution.arrow.maxBytesPerBatch, 64 MiB unless set.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:
         spark.conf.set(key, str(rows))

@@ -7,20 +7,21 @@ separate tables would take. Documents that share a key are candidates, and a lin
 holds only if the full sets say so.
 
 Texts with equal sets are one class. Classes are nodes of the graph; the documents of
-a class are never paired. Candidates come in rounds. In a round every key links its
-classes to the smallest of them, a star instead of all pairs. Classes linked so far
-form components, and keys whose classes are all in one component are done. Of the
-other keys, small ones (at most `pairs_below` classes) then compare all classes of
-different components (full sets meet only where sizes and parity bits leave a link
-possible, which loses none); the classes of large ones go to the next round, whose fresh half
-keys have more minhashes each, which part unlike classes and keep alike ones together.
-After the last round what is left of large keys is compared in full, so no candidate
-is dropped anywhere.
+a class are never paired. Every key first links its classes to the smallest of them, a
+star instead of all pairs, and linked classes form components. Keys whose classes are
+all in one component are done; the classes of the other keys form families, in which
+every link is looked for by an exact join on set elements (`family_links`) that makes no
+pairs of a family's members but those whose sets can still be alike enough. No candidate
+is dropped anywhere, and no step depends on how large a key is.
 
 With threshold t, two classes that should be linked share a half key with chance
 p = t^width and are missed with chance (1-p)^m + m p (1-p)^(m-1) at the threshold
 itself, less above it; m is the least that brings this below `miss`.
 
+Shingles are compared by 64-bit hashes of the 64-bit hashes of their words. Two unlike
+shingles of a pair of sets of n elements agree with chance n^2 / 2^63 or so: less than
+one in 10^9 for texts of 60,000 words, and one such hit moves a similarity by 1/n only.
+
 Defined cases: a null or empty text has an empty set, is linked with nothing and is
 its own component. A text shorter than a shingle is one shingle. A null identifier
 never names a component unless all of its documents have none. Of repeated rows each
@@ -34,14 +35,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import common
 
-_BITS = 2048
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _SEED1, _SEED2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -136,15 +136,6 @@ def half_keys(sets: np.ndarray, count: int, width: int, seed: int) -> list[int]:
     return key.view(np.int64).tolist()
 
 
-def parity(sets: np.ndarray) -> np.ndarray:
-    """Bits that tell for each of `_BITS` bins whether the set has an odd number of elements in it.
-
-    Two sets differ in as many elements, at least, as their bits differ.
-    """
-    odd = np.bincount((sets % np.uint64(_BITS)).astype(np.int64), minlength=_BITS) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
-
-
 def half_key_count(threshold: float, width: int, miss: float) -> int:
     p, m = threshold**width, 2
     while (1 - p) ** m + m * p * (1 - p) ** (m - 1) > miss:
@@ -152,69 +143,80 @@ def half_key_count(threshold: float, width: int, miss: float) -> int:
     return m
 
 
-def _signed(df: DataFrame, k: int, count: int, width: int, seed: int, whole: bool) -> DataFrame:
-    """`df` with its text `t` turned into n, a digest of the set, half keys and, if `whole`, the set and its parity bits."""
+def _per_text(df: DataFrame, fields: list[T.StructField], made) -> DataFrame:
+    """`df` with its text `t` turned into `fields` by `made`, a function of the text."""
     kept = [f for f in df.schema.fields if f.name != "t"]
     df = df.select(*(f.name for f in kept), "t")
-    out = T.StructType([*kept, T.StructField("n", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("half", T.ArrayType(T.LongType())), T.StructField("bits", T.ArrayType(T.LongType())), T.StructField("items", T.ArrayType(T.LongType()))])
+    out = T.StructType([*kept, *fields])
     schema = to_arrow_schema(out)
 
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            columns = zip(*(made(t.as_py()) for t in b.columns[-1]), strict=True) if len(b) else [()] * len(fields)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(pa.array(c, f.type) for c, f in zip(columns, list(schema)[len(kept) :], strict=True))], schema=schema)
+
+    return df.mapInArrow(turn, out)
+
+
+def _signed(df: DataFrame, k: int, count: int, width: int) -> DataFrame:
+    """`df` with its text `t` turned into n, a digest of the set and half keys."""
+
+    def sign(text: str | None) -> tuple:
         import hashlib
 
-        for b in batches:
-            n, digest, half, bits, items = [], [], [], [], []
-            for t in b.columns[-1]:
-                s = shingles(t.as_py(), k)
-                n.append(len(s))
-                digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                half.append(half_keys(s, count, width, seed) if len(s) and count else None)
-                bits.append(parity(s) if whole else None)
-                items.append(s.view(np.int64) if whole else None)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(half, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.int64()))], schema=schema)
+        s = shingles(text, k)
+        if not len(s):
+            return 0, None, None
+        return len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), half_keys(s, count, width, 0)
 
-    return df.mapInArrow(sign, out)
+    return _per_text(df, [T.StructField("n", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("half", T.ArrayType(T.LongType()))], sign)
 
 
-def _tables(spark: SparkSession, df: DataFrame, turn: int) -> DataFrame:
-    """A row for every pair of half keys: node, key.
+def _shared_keys(tables: common.Scratch, classes: DataFrame) -> DataFrame:
+    """A row for every class and pair of its half keys that another class has too: node, key, least, many.
 
-    A pair is shared only if both of its halves are, so halves of one node go first.
+    `least` is the smallest class of the key and `many` how many it has. A pair is
+    shared only if both of its halves are, so halves of one class go first.
     """
-    halves = df.select("node", F.posexplode("half").alias("i", "h"))
-    shared = halves.groupBy("i", "h").agg(F.count(F.lit(1)).alias("many")).where("many > 1").select("i", "h")
-    held = halves.join(shared, ["i", "h"]).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("i", "h"))).alias("held")).where(F.size("held") > 1)
-    held = common.written(spark, held, "near-half")
-    pairs = F.flatten(F.transform("held", lambda x, at: F.transform(F.slice("held", at + 2, F.size("held")), lambda y: F.xxhash64(F.lit(turn), x["i"], y["i"], x["h"], y["h"]))))
-    return held.select("node", F.explode(pairs).alias("key"))
+    halves = classes.select("node", F.posexplode("half").alias("i", "h"))
+    twice = halves.groupBy("i", "h").agg(F.count(F.lit(1)).alias("many")).where("many > 1").select("i", "h")
+    held = halves.join(twice, ["i", "h"]).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("i", "h"))).alias("held")).where(F.size("held") > 1)
+    held = tables.table(held, "held")
+    pairs = F.flatten(F.transform("held", lambda x, at: F.transform(F.slice("held", at + 2, F.size("held")), lambda y: F.xxhash64(x["i"], y["i"], x["h"], y["h"]))))
+    keys = held.select("node", F.explode(pairs).alias("key"))
+    met = keys.groupBy("key").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("many")).where("many > 1")
+    return tables.table(keys.join(tables.table(met, "met"), "key"), "shared")
 
 
-def components(spark: SparkSession, links: DataFrame, most: int = 60) -> DataFrame:
+def components(tables: common.Scratch, links: DataFrame) -> DataFrame:
     """node and root (the smallest node reachable) for every node of `links` (a, b).
 
     Alternates two steps until nothing changes: every node's larger neighbours are
     linked to its smallest neighbour, then every node's smaller ones. Each step is
-    one aggregate and one join on written tables.
+    one aggregate and one join on written tables, and its number of edges and sum of
+    their hashes are taken as they are written.
     """
-    edges = common.written(spark, links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "cc")
-    if not edges.limit(1).count():
-        return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    for _ in range(most):
+
+    def step(edges: DataFrame) -> tuple[DataFrame, tuple]:
+        seen = Observation()
+        code = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("code")
+        table = tables.table(edges.observe(seen, F.count(F.lit(1)).alias("n"), code), "cc")
+        return table, (seen.get["n"], seen.get["code"])
+
+    edges, state = step(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    while state[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = common.written(spark, large, "cc")
+        large, _ = step(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        small = common.written(spark, small, "cc")
-        same = small.count() == edges.count() and not small.join(edges, ["u", "v"], "left_anti").limit(1).count()
-        edges = small
-        if same:
+        before, (edges, state) = state, step(small)
+        if state == before:
             break
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def _links(spark: SparkSession, pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of the candidate pairs (a, b), those whose full sets are alike enough."""
     first, second = sets.select(F.col("node").alias("a"), F.col("items").alias("x")), sets.select(F.col("node").alias("b"), F.col("items").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
@@ -222,89 +224,115 @@ def _links(spark: SparkSession, pairs: DataFrame, sets: DataFrame, percent: int)
     return joined.where(both * 100 >= (F.size("x") + F.size("y") - both) * percent).select("a", "b")
 
 
-def _maybe(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Without the pairs (a, b) whose sizes or parity bits rule a link out."""
-    first, second = (sets.select(F.col("node").alias(node), F.col("n").alias(n), F.col("bits").alias(bits)) for node, n, bits in (("a", "x", "p"), ("b", "y", "q")))
-    apart = F.aggregate(F.zip_with("p", "q", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda total, one: total + one)
-    both = F.col("x") + F.col("y")
-    near = (F.least("x", "y") * 100 >= F.greatest("x", "y") * percent) & (apart * (100 + percent) <= both * (100 - percent))
-    return pairs.join(first, "a").join(second, "b").where(near).select("a", "b")
-
-
-def grouped(
-    spark: SparkSession,
-    docs: DataFrame,
-    k: int = 5,
-    percent: int = 80,
-    width: int = 3,
-    miss: float = 1e-4,
-    pairs_below: int = 48,
-    rounds: int = 2,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-) -> DataFrame:
-    """A row for every document: id, at_file, at_row, n, component, first."""
-    count = half_key_count(percent / 100, width, miss)
-    rows = common.located(spark, docs, {"id": id_col, "t": text_col}, "near-docs").withColumn("id", F.col("id").cast("bigint"))
-    signed = common.written(spark, _signed(rows, k, count, width, 0, False).drop("bits", "items"), "near-signed")
-    classes = signed.where("n > 0").groupBy("digest").agg(F.min(F.struct(F.col("id").isNull(), "id", "at_file", "at_row")).alias("rep"), F.any_value("half").alias("half"))
-    classes = classes.select("digest", "half", F.col("rep.at_file").alias("at_file"), F.col("rep.at_row").alias("at_row"), F.monotonically_increasing_id().alias("node"))
-    classes = common.written(spark, classes, "near-classes")
-
-    root = None  # node and root of what is linked so far
-    keys = _tables(spark, classes.select("node", "half"), 0)
-    links = None
-    for turn in range(rounds):
-        met = keys.groupBy("key").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("many")).where("many > 1")
-        met = common.written(spark, met, "near-keys")
-        shared = common.written(spark, keys.join(met.select("key", "least", "many"), "key"), "near-shared")
-        star = shared.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
-        sets = _sets(spark, rows, classes, shared.select("node").distinct(), k)
-        star = common.written(spark, _maybe(star, sets, percent), "near-stars")
-        links = _together(spark, links, _links(spark, star, sets, percent))
-        root = components(spark, links)
-        # Keys whose classes are not all in one component yet.
-        placed = shared.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        split = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
-        open_ = common.written(spark, placed.join(split, "key", "left_semi").select("key", "node", "root", "many"), "near-open")
-        last = turn == rounds - 1
-        few = open_ if last else open_.where(F.col("many") <= pairs_below)
-        one, two = few.select("key", F.col("node").alias("a"), F.col("root").alias("ra")), few.select("key", F.col("node").alias("b"), F.col("root").alias("rb"))
-        pairs = one.join(two, "key").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb"))).select("a", "b").distinct()
-        pairs = common.written(spark, _maybe(pairs, sets, percent).join(star, ["a", "b"], "left_anti"), "near-pairs")
-        links = _together(spark, links, _links(spark, pairs, sets, percent))
-        many = open_.where(F.col("many") > pairs_below).select("node").distinct()
-        if last or not many.limit(1).count():
-            break
-        wide = width + 2 * (turn + 1)
-        count = half_key_count(percent / 100, wide, miss)
-        fresh = common.written(spark, _signed(_texts(spark, rows, classes, many), k, count, wide, turn + 1, False).select("node", "half"), "near-fresh")
-        keys = _tables(spark, fresh, turn + 1)
-
-    root = components(spark, links)
-    of_class = classes.join(root, "node", "left").select("digest", F.coalesce("root", "node").alias("root"))
-    members = signed.select("id", "at_file", "at_row", "n", "digest").join(of_class, "digest", "left")
-    members = common.written(spark, members, "near-members")
-    heads = members.where("root is not null").groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "at_file", "at_row")).alias("head"))
-    out = members.join(heads, "root", "left")
-    head = F.col("head")
-    first = F.when(head.isNull(), True).otherwise(head["id"].eqNullSafe(F.col("id")) & (head["at_file"] == F.col("at_file")) & (head["at_row"] == F.col("at_row")))
-    return out.select("id", "at_file", "at_row", "n", F.when(head.isNull(), F.col("id")).otherwise(head["id"]).alias("component"), first.alias("first"))
-
+def family_links(tables: common.Scratch, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join the members (node, root, family) of each family as all their links would.
 
-def _together(spark: SparkSession, links: DataFrame | None, more: DataFrame) -> DataFrame:
-    return common.written(spark, more if links is None else links.unionByName(more), "near-links")
+    Families are split by what their members differ in. With B the elements that more
+    than half of a family have, a set x is told by z(x), its symmetric difference with
+    B: two sets differ where their z do. Let s(x) = (100 - percent) |x| - (100 +
+    percent) |z(x)| and w = 2 (100 + percent); then x and y are linked just if
 
+        s(x) + s(y) + w |z(x) & z(y)| >= 0.
 
-def _texts(spark: SparkSession, rows: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node and text of one document for each of some classes."""
-    wanted = common.written(spark, classes.join(nodes, "node", "left_semi").select("node", "at_file", "at_row"), "near-wanted")
-    return rows.select("at_file", "at_row", "t").join(common.broadcast_if_small(wanted, wanted.count()), ["at_file", "at_row"]).select("node", "t")
-
-
-def _sets(spark: SparkSession, rows: DataFrame, classes: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """node and the full set of classes that share a key."""
-    return common.written(spark, _signed(_texts(spark, rows, classes, nodes), k, 0, 1, 0, True).select("node", "n", "bits", "items"), "near-sets")
+    The member with the largest s is the family's top. Members with s(x) + s(top) >= 0
+    are linked to it for sure, and two members with s(x) + s(y) >= 0 both are. Any other
+    link takes a shared element of z and one member, at least, that is not so linked.
+    Elements are ordered by how many z hold them, the rarest first. If the first shared
+    one has r(x) elements from there to the end of z(x) that any other z holds, the two
+    share at most min(r(x), r(y)): pairs are made at such elements alone, and only where
+    these bounds and the sizes leave a link possible. What no partner in an element's
+    list can meet leaves the list before pairs are made. Full sets of differences decide.
+    """
+    w = 2 * (100 + percent)
+    many = members.groupBy("family").agg(F.count(F.lit(1)).alias("many"))
+    members = tables.table(members.join(common.broadcast_if_small(many, many.count()), "family"), "members")
+    own = members.join(sets.select("node", "items"), "node")
+    held = own.groupBy("family", "many").agg(F.count(F.lit(1))).select("family", "many")  # families whose sets are there
+    counted = own.select("family", F.explode("items").alias("e")).groupBy("family", "e").agg(F.count(F.lit(1)).alias("c"))
+    counted = counted.join(common.broadcast_if_small(held, many.count()), "family")
+    base = F.col("c") * 2 > F.col("many")
+    counted = tables.table(counted.select("family", "e", base.alias("base"), F.when(base, F.col("many") - F.col("c")).otherwise(F.col("c")).alias("zc")).where("base or zc > 1"), "elements")
+
+    # A family's B goes to as many pieces as it has thousands of members.
+    pieces = F.floor(F.col("many") / 1000).cast("int") + 1
+    bases = counted.where("base").groupBy("family").agg(F.collect_list("e").alias("b")).join(many, "family")
+    bases = bases.select("family", "b", F.explode(F.sequence(F.lit(0), pieces - 1)).alias("piece"))
+    own = own.withColumn("piece", F.pmod(F.xxhash64("node"), pieces.cast("bigint")).cast("int")).join(bases, ["family", "piece"], "left")
+    b = F.coalesce("b", F.array().cast("array<bigint>"))
+    z = F.concat(F.array_except("items", b), F.array_except(b, "items"))
+    n = F.size("items")
+    told = own.select("family", "node", "root", n.alias("n"), z.alias("z"), ((100 - percent) * n - (100 + percent) * F.size(z)).cast("bigint").alias("s"))
+    told = tables.table(told, "told")
+    tops = tables.table(told.groupBy("family").agg(F.max(F.struct("s", "node")).alias("top")).select("family", F.col("top.s").alias("top_s"), F.col("top.node").alias("top")), "tops")
+    topped = told.join(common.broadcast_if_small(tops, tops.count()), "family")
+    sure = topped.where("s + top_s >= 0 and node <> top").select(F.least("node", "top").alias("a"), F.greatest("node", "top").alias("b"))
+
+    who = ["family", "node", "root", "n", "s", "top_s"]
+    listed = topped.select(*who, F.explode("z").alias("e")).join(counted.where("zc > 1").select("family", "e", "zc"), ["family", "e"])
+    listed = listed.groupBy(*who).agg(F.sort_array(F.collect_list(F.struct("zc", "e"))).alias("l"))
+    need = F.greatest(F.lit(1), F.ceil(-(F.col("s") + F.col("top_s")) / w)).cast("int")
+    rest = F.size("l") - F.col("at")
+    rows = listed.select(*who, "l", F.posexplode(F.slice("l", 1, F.greatest(F.lit(0), F.size("l") - need + 1))).alias("at", "x"))
+    rows = rows.select("family", F.col("x.e").alias("e"), "node", "root", "n", "s", (w * rest + F.col("s")).alias("reach"), (F.col("s") + F.col("top_s") < 0).alias("outer"))
+    rows = tables.table(rows, "lists")
+    for _ in range(2):
+        outer = lambda c: F.max(F.when(F.col("outer"), F.col(c)))
+        best = rows.groupBy("family", "e").agg(F.count(F.lit(1)).alias("k"), F.max("s").alias("s1"), F.max("reach").alias("r1"), outer("s").alias("s2"), outer("reach").alias("r2")).where("k > 1 and s2 is not null")
+        met = rows.join(best, ["family", "e"]).where(F.when(F.col("outer"), (F.col("reach") + F.col("s1") >= 0) & (F.col("s") + F.col("r1") >= 0)).otherwise((F.col("reach") + F.col("s2") >= 0) & (F.col("s") + F.col("r2") >= 0)))
+        rows = tables.table(met.select(*rows.columns), "lists")
+    one, two = rows.where("outer").alias("x"), rows.alias("y")
+    able = (F.col("x.reach") + F.col("y.s") >= 0) & (F.col("y.reach") + F.col("x.s") >= 0) & (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent)
+    apart = (F.col("x.root") != F.col("y.root")) & (~F.col("y.outer") | (F.col("x.node") < F.col("y.node")))
+    same = (F.col("x.family") == F.col("y.family")) & (F.col("x.e") == F.col("y.e"))
+    pairs = tables.table(one.join(two, same & apart & able).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct(), "pairs")
+    first, second = (told.select(F.col("node").alias(node), F.col("z").alias(z), F.col("s").alias(s)) for node, z, s in (("a", "za", "sa"), ("b", "zb", "sb")))
+    found = pairs.join(first, "a").join(second, "b").where(F.col("sa") + F.col("sb") + w * F.size(F.array_intersect("za", "zb")) >= 0)
+    return tables.table(sure.unionByName(found.select("a", "b")), "family-links")
+
+
+def grouped(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80, width: int = 3, miss: float = 1e-4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row for every document: id, at_file, at_row, n, component, first."""
+    tables = common.Scratch(spark, "near")
+    rows = common.located(spark, docs, {"id": id_col, "t": text_col}, "near-docs").withColumn("id", F.col("id").cast("bigint"))
+    signed = tables.table(_signed(rows, k, half_key_count(percent / 100, width, miss), width), "signed")
+    place = F.struct(F.col("id").isNull().alias("none"), "id", "at_file", "at_row")
+    classes = signed.where("n > 0").groupBy("digest").agg(F.min(place).alias("rep"), F.count(F.lit(1)).alias("copies"), F.any_value("half").alias("half"))
+    classes = tables.table(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+
+    shared = _shared_keys(tables, classes)
+    star = tables.table(shared.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct(), "star")
+    sets = _sets(tables, rows, classes, shared.select("node").distinct(), k)
+    links = tables.table(_links(star, sets, percent), "links")
+    root = components(tables, links)
+
+    # Keys of three classes or more that are not all in one component yet.
+    placed = shared.where("many > 2").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    split = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
+    open_ = tables.table(placed.join(split, "key", "left_semi").select("least", "node", "root").distinct(), "open")
+    if open_.limit(1).count():
+        family = components(tables, open_.select(F.col("least").alias("a"), F.col("node").alias("b"))).withColumnRenamed("root", "family")
+        members = open_.select("node", "root").distinct().join(family, "node")
+        more = family_links(tables, members, sets, percent)
+        root = components(tables, links.unionByName(more))
+
+    linked = classes.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    heads = linked.groupBy("root").agg(F.min("rep").alias("head"), F.count(F.lit(1)).alias("many"))
+    heads = heads.where("many > 1").drop("many")
+    # Classes whose documents do not all stand for themselves.
+    of_class = linked.join(heads, "root", "left").where("copies > 1 or head is not null").select("digest", F.coalesce("head", "rep").alias("head"))
+    of_class = tables.table(of_class.select("digest", "head.id", "head.at_file", "head.at_row").toDF("digest", "head", "head_file", "head_row"), "heads")
+    out = signed.drop("half").join(common.broadcast_if_small(of_class, of_class.count()), "digest", "left")
+    here = (F.col("head_file") == F.col("at_file")) & (F.col("head_row") == F.col("at_row"))
+    result = out.select("id", "at_file", "at_row", "n", F.when(F.col("head_file").isNull(), F.col("id")).otherwise(F.col("head")).alias("component"), F.coalesce(here, F.lit(True)).alias("first"))
+    tables.drop_all_but("signed", "heads")
+    return result
+
+
+def _sets(tables: common.Scratch, rows: DataFrame, classes: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+    """node and the full set, read from one document of each of the given classes."""
+    wanted = tables.table(classes.join(nodes, "node", "left_semi").select("node", "rep.at_file", "rep.at_row"), "wanted")
+    texts = rows.select("at_file", "at_row", "t").join(common.broadcast_if_small(wanted, wanted.count()), ["at_file", "at_row"]).select("node", "t")
+    return tables.table(_per_text(texts, [T.StructField("items", T.ArrayType(T.LongType()))], lambda text: (shingles(text, k).view(np.int64),)), "sets")
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
