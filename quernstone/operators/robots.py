@@ -75,6 +75,7 @@ def decided(df: DataFrame, agent: str = AGENT) -> DataFrame:
     read = (status == "ok") & ~empty
     matched = F.when(read & (own != any_), agent).otherwise("*")
     allowed = F.when(status.isin("not_found", "oversized") | ((status == "ok") & empty), True).when(read, own).otherwise(False)
+    # The reasons.
     reason = (
         F.when(status == "not_found", "robots.txt not found — allowed per RFC 9309")
         .when(status == "unreachable", "robots.txt unreachable")
@@ -89,8 +90,19 @@ def decided(df: DataFrame, agent: str = AGENT) -> DataFrame:
 
 
 def fresh(fetched_at: Column, now: Column) -> Column:
-    """Younger than the cache's day; a time to come is fresh."""
-    return F.unix_timestamp(now) - F.unix_timestamp(fetched_at) < TTL_SECONDS
+    """Younger than the cache's day; a time to come is fresh, a null one is not."""
+    return F.coalesce(F.unix_timestamp(now) - F.unix_timestamp(fetched_at) < TTL_SECONDS, F.lit(False))
+
+
+def rough_seconds(text: Column) -> Column:
+    """Seconds of a time's text in years of 365 and months of 30 days; null where it is no time."""
+    part = lambda i: F.regexp_extract(text, r"^\+?([0-9]+)-\+?([0-9]+)-\+?([0-9]+)[^T ]*[T ]\+?([0-9]+):\+?([0-9]+):\+?([0-9]+)(?:\..*)?Z?$", i).try_cast("bigint")
+    return part(1) * 31_536_000 + part(2) * 2_592_000 + part(3) * 86_400 + part(4) * 3600 + part(5) * 60 + part(6)
+
+
+def roughly_fresh(fetched_at: Column, now: Column) -> Column:
+    """`fresh` by `rough_seconds`: entries look younger or older where months have not 30 days."""
+    return F.coalesce(rough_seconds(now) - rough_seconds(fetched_at) < TTL_SECONDS, F.lit(False))
 
 
 def cache_latest(log: DataFrame) -> DataFrame:
@@ -99,9 +111,61 @@ def cache_latest(log: DataFrame) -> DataFrame:
 
 
 def pruned(cache: DataFrame, now: Column, days: int = 7) -> DataFrame:
+    """Entries of the last `days` days."""
     return cache.where(F.unix_timestamp(now) - F.unix_timestamp("fetched_at") <= days * 86_400)
 
 
+def pruned_by_text(cache: DataFrame, now_text: Column, days: int = 7) -> DataFrame:
+    """As `pruned` for times kept as text `…T…Z`, compared as text with a time that has a space for the T.
+
+    So entries of the whole day at the edge stay.
+    """
+    edge = F.date_format(F.to_timestamp(F.translate(F.substring(now_text, 1, 19), "T", " ")) - F.make_interval(days=F.lit(days)), "yyyy-MM-dd HH:mm:ss")
+    return cache.where(F.col("fetched_at") >= edge)
+
+
+def fetched_rules(fetches: DataFrame) -> DataFrame:
+    """robots_url, text and status of fetched crawl rules (robots_url, code, body); only good ones have a text."""
+    status = fetch_status(F.col("code"), F.octet_length("body"))
+    return fetches.select("robots_url", F.when(status == "ok", F.coalesce(F.col("body").cast("string"), F.lit(""))).otherwise("").alias("text"), status.alias("status"))
+
+
+def cache_policy(requests: DataFrame, cache: DataFrame, fetches: DataFrame, now: Column, is_fresh=fresh) -> DataFrame:
+    """`requests` (domain, robots_url, ...) with text, status, source and stale.
+
+    `cache` has one row a domain, `fetches` what fetching each robots_url gives. A fresh
+    entry is used as it is; an old one only if its refetch is unreachable, and then it is
+    stale; else the fetch counts. The cache's key is the host alone. A request whose rules
+    nobody fetched is unreachable.
+    """
+    held = cache.select(F.col("domain").alias("c_domain"), F.col("text").alias("c_text"), F.col("status").alias("c_status"), is_fresh(F.col("fetched_at"), now).alias("c_fresh"))
+    got = fetched_rules(fetches).select(F.col("robots_url").alias("f_url"), F.col("text").alias("f_text"), F.col("status").alias("f_status"))
+    rows = requests.join(held, F.col("domain") == F.col("c_domain"), "left").join(got, F.col("robots_url") == F.col("f_url"), "left")
+    there, new = F.col("c_domain").isNotNull(), F.coalesce("f_status", F.lit("unreachable"))
+    cached = there & (F.col("c_fresh") | (new == "unreachable"))
+    return rows.select(
+        *requests.columns,
+        F.when(cached, F.col("c_text")).otherwise(F.coalesce("f_text", F.lit(""))).alias("text"),
+        F.when(cached, F.col("c_status")).otherwise(new).alias("status"),
+        F.when(cached, "cached").otherwise("fresh").alias("source"),
+        (cached & ~F.col("c_fresh")).alias("stale"),
+    )
+
+
+def refreshed(requests: DataFrame, cache: DataFrame, fetches: DataFrame, now: Column, is_fresh=fresh) -> DataFrame:
+    """The cache (domain, text, status, fetched_at) after the requests' fetches are in it."""
+    new = cache_policy(requests, cache, fetches, now, is_fresh).where("source = 'fresh'")
+    new = new.groupBy("domain").agg(F.min_by(F.struct("text", "status"), "robots_url").alias("v")).select("domain", "v.text", "v.status", now.cast(cache.schema["fetched_at"].dataType).alias("fetched_at"))
+    return cache.join(new, "domain", "left_anti").select("domain", "text", "status", "fetched_at").unionByName(new)
+
+
+def checked(requests: DataFrame, cache: DataFrame, fetches: DataFrame, now: Column, agent: str = AGENT, is_fresh=fresh) -> DataFrame:
+    """`requests` (domain, robots_url, path, ...) with allowed, reason, delay, matched_agent and source."""
+    rows = decided(cache_policy(requests, cache, fetches, now, is_fresh), agent)
+    delay = F.when((F.col("status") == "ok") & (F.col("text") != ""), crawl_delay(F.col("text"), agent))
+    return rows.select(*requests.columns, "allowed", "reason", delay.alias("delay"), "matched_agent", "source")
+
+
 def fetch_error(code: Column, content_type: Column, n_bytes: Column) -> Column:
     """Why a fetched page is refused: http, content_type or size; null where it is accepted."""
     return F.when(code >= 400, "http").when(~F.coalesce(content_type, F.lit("")).startswith("text/html"), "content_type").when(n_bytes > 10_485_760, "size")

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from quernstone.functions import urls
 from quernstone.operators import store
-from quernstone.plans import records
+from quernstone.plans import records, stores
+from quernstone.sources.records import previewed
+from quernstone.streaming import sync
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,7 +21,7 @@ def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def url_normalize(spark, d):
-    return _table(spark, d, "pages").select("page_id", *(c.alias(n) for n, c in urls.normalized(F.col("url")).items()))
+    return urls.resolved(_table(spark, d, "pages").select("page_id", "url")).select("page_id", "parts.*").drop("robots_url")
 
 
 def host_counts(spark, d):
@@ -28,7 +30,7 @@ def host_counts(spark, d):
 
 
 def html_preview(spark, d):
-    return _table(spark, d, "pages").select("page_id", F.concat(F.substring("html", 1, 200), F.lit("...")).alias("preview"))
+    return _table(spark, d, "pages").select("page_id", previewed(F.col("html")).alias("preview"))
 
 
 def lww_latest(spark, d):
@@ -40,41 +42,22 @@ def lww_deleted(spark, d):
 
 
 def sync_watermark(spark, d):
-    return _table(spark, d, "events").groupBy((F.col("event_id") % 3).alias("device")).agg(F.max("event_id").alias("last_id"))
+    """Watermarks after an import: one device is ahead already, one is unknown, one stands still."""
+    state = spark.createDataFrame([("d0", 1 << 40, "2020"), ("d1", 5, "2020")], sync.STATE)
+    rows = _table(spark, d, "events").select("event_id", F.concat(F.lit("d"), F.col("event_id") % 3).alias("file_device"))
+    new = sync.not_imported(rows.withColumnRenamed("event_id", "id"), state)
+    return sync.advanced(new, state, F.lit("2030"))
 
 
-def search_text(spark, d):
-    orders = _table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("title"))
-    part = _table(spark, d, "part").select("p_partkey", F.col("p_name").alias("name"))
-    items = _table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), "l_partkey").join(part, F.col("l_partkey") == F.col("p_partkey")).select("id", "name")
-    return store.searched(orders, items, "URG").select("id", "title")
+QUERIES: dict = {f.__name__: f for f in (url_normalize, host_counts, html_preview, lww_latest, lww_deleted, sync_watermark)}
 
-
-def search_tags(spark, d):
-    tags = _table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_returnflag").alias("label"))
-    return store.with_all_tags(tags, ["A", "N"])
-
-
-QUERIES: dict = {f.__name__: f for f in (url_normalize, host_counts, html_preview, lww_latest, lww_deleted, sync_watermark, search_text, search_tags)}
-
-_P = r"'^([A-Za-z][A-Za-z0-9+.-]*)://(?:[^/?#@]*@)?([^/?#:]*)(?::([0-9]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$'"
-_URLS = f"""
-WITH p AS (SELECT page_id, url, lower(regexp_extract(url, {_P}, 1)) AS scheme, lower(regexp_extract(url, {_P}, 2)) AS host, regexp_extract(url, {_P}, 3) AS pt,
- regexp_replace(CASE WHEN regexp_extract(url, {_P}, 4) = '' THEN '/' ELSE regexp_extract(url, {_P}, 4) END, '(.)/$', '\\1') AS path FROM pages),
-q AS (SELECT *, CASE WHEN pt = '' OR (scheme = 'http' AND pt = '80') OR (scheme = 'https' AND pt = '443') THEN NULL ELSE try_cast(pt AS INTEGER) END AS port FROM p),
-n AS (SELECT page_id, scheme, host, port, path, scheme || '://' || host || coalesce(':' || port, '') || path
- || CASE WHEN regexp_matches(url, '^[^#]*\\?') THEN '?' || regexp_extract(url, {_P}, 5) ELSE '' END
- || CASE WHEN contains(url, '#') THEN '#' || regexp_extract(url, {_P}, 6) ELSE '' END AS normalized FROM q)
-"""
 ORACLE: dict = {
-    "url_normalize": _URLS + "SELECT * FROM n",
-    "host_counts": _URLS + "SELECT scheme, host, count(*) AS pages FROM n GROUP BY 1, 2",
-    "html_preview": "SELECT page_id, substring(html, 1, 200) || '...' AS preview FROM pages",
+    "url_normalize": stores.URLS_SQL + "SELECT * FROM n",
+    "host_counts": stores.URLS_SQL + "SELECT scheme, host, count(*) AS pages FROM n GROUP BY 1, 2",
+    "html_preview": "SELECT page_id, CASE WHEN strlen(html) > 200 THEN substring(html, 1, 200) || '...' ELSE html END AS preview FROM pages",
     "lww_latest": "SELECT user_id AS record, event_type AS field, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1",
     "lww_deleted": "SELECT user_id AS record, count(*) FILTER (event_type = 'signup') > 0 AND coalesce(max(ts) FILTER (event_type <> 'signup') <= max(ts) FILTER (event_type = 'signup'), true) AS deleted FROM events GROUP BY 1",
-    "sync_watermark": "SELECT event_id % 3 AS device, max(event_id) AS last_id FROM events GROUP BY 1",
-    "search_text": "SELECT DISTINCT o_orderkey AS id, o_orderpriority AS title FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey LEFT JOIN part ON p_partkey = l_partkey WHERE o_orderpriority ILIKE '%URG%' OR p_name ILIKE '%URG%'",
-    "search_tags": "SELECT o_orderkey AS id FROM orders o WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'A') AND EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'N')",
+    "sync_watermark": "SELECT 'd0' AS device, 1099511627776 AS last_id, '2020' AS last_sync_at UNION ALL SELECT 'd' || event_id % 3, greatest(max(event_id), 5), CASE WHEN max(event_id) > 5 OR event_id % 3 = 2 THEN '2030' ELSE '2020' END FROM events WHERE event_id % 3 > 0 GROUP BY event_id % 3",
 }
-QUERIES |= records.QUERIES
-ORACLE |= records.ORACLE
+QUERIES |= records.QUERIES | stores.QUERIES
+ORACLE |= records.ORACLE | stores.ORACLE

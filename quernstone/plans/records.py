@@ -5,14 +5,12 @@ The driver's pages hold no recipe markup, so `part` is written as pages that do.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernstone.functions import durations
 from quernstone.operators import robots, store, tagging
+from quernstone.plans import stores
 from quernstone.sources import interchange, records
 from quernstone.streaming import sync
 
@@ -58,9 +56,7 @@ def course_tags(spark, d):
 def diet_tags(spark, d):
     """Diets of orders whose lines' return flags play ingredients."""
     rows = _table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_list("l_returnflag").alias("ingredients"))
-    aliases = spark.createDataFrame([("a", "milk")], "name string, canonical string")
-    flags = spark.createDataFrame([("milk", ["Dairy"]), ("r", ["Meat", "HighFat"])], "canonical string, flags array<string>")
-    return tagging.diets(rows, aliases, flags).select("id", "label", F.round("confidence", 6).alias("confidence"))
+    return tagging.diets(rows, {"a": "milk"}, {"milk": ["ContainsDairy"], "r": ["ContainsMeat", "HighFat"]}).select("id", "label", F.round("confidence", 6).alias("confidence"))
 
 
 def label_counts(spark, d):
@@ -87,7 +83,7 @@ def robots_decision(spark, d):
 
 def robots_cache_latest(spark, d):
     log = _table(spark, d, "events").groupBy(F.col("user_id").alias("domain"), F.col("ts").alias("fetched_at")).agg(F.max("props").alias("text"), F.max("event_type").alias("status"))
-    return robots.pruned(robots.cache_latest(log), F.lit("2024-02-01").cast("timestamp_ntz"), 3650).select("domain", "text", "status")
+    return robots.pruned(robots.cache_latest(log), F.lit("2024-02-01").cast("timestamp_ntz"), 7).select("domain", "text", "status")
 
 
 def fetch_accept(spark, d):
@@ -96,37 +92,57 @@ def fetch_accept(spark, d):
     return _table(spark, d, "pages").select("page_id", robots.fetch_error(code, kind, F.octet_length("html")).alias("error"))
 
 
-def upsert(spark, d):
-    base = _table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_custkey").alias("key"), F.col("c_name").alias("title"))
-    saved = _table(spark, d, "events").select((F.col("user_id") * 3).alias("key"), F.col("event_type").alias("title"))
-    return store.upserted(base, saved, "key", ["title"]).select("key", "title", "created")
-
-
-def patch(spark, d):
-    base = _table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("title"), F.col("c_mktsegment").alias("notes"))
-    new = _table(spark, d, "events").groupBy(F.col("user_id").alias("id")).agg(F.max("event_type").alias("title")).withColumn("notes", F.lit(None).cast("string"))
-    return store.patched(base, new, ["title", "notes"])
-
-
 def change_log_unpivot(spark, d):
     base = _table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("title"), F.nullif(F.col("c_mktsegment"), F.lit("FURNITURE")).alias("notes"))
     return sync.unpivoted(base, ["title", "notes"], F.lit("t"), F.lit("d")).select("record", "field", "value")
 
 
 def lww_merge(spark, d):
-    base = _table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.lit(-1.0).alias("click"), F.lit(-1.0).alias("error"), F.lit(0).alias("deleted"), F.lit("old").alias("updated_at"))
-    log = _table(spark, d, "events").select(F.col("user_id").alias("record"), F.col("event_type").alias("field"), F.col("value").cast("string").alias("value"), F.col("ts").alias("at"), F.col("event_id").alias("device"))
-    return sync.merged(base, log, ["click", "error"], F.lit("new"), "signup")
+    """Records after the merge of events as changes; a third of the events are of the own device."""
+    base = _table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.lit(-1.0).alias("click"), F.lit("n").alias("notes"), F.lit(0).alias("deleted"), F.lit("old").alias("updated_at"))
+    field = F.when(F.col("event_type") == "error", "notes").otherwise(F.col("event_type"))
+    log = _table(spark, d, "events").select(F.col("user_id").alias("record"), field.alias("field"), F.when(F.col("event_id") % 4 > 0, F.col("value").cast("string")).alias("value"), F.col("ts").alias("at"), (F.col("event_id") % 3).alias("device"))
+    return sync.merged(base, log, F.lit("new"), 0, ("click", "notes"), "signup")
 
 
 def stream_lww(spark, d):
     """`lww_latest` over the events as a stream."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="quernstone-")
-    at = f"{root}/stream-{uuid.uuid4().hex[:12]}"
-    events = spark.readStream.schema(_table(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    side = spark.newSession()  # the state store's settings stay out of the caller's session
+    side.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
+    events = side.readStream.schema(_table(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
     log = events.select(F.col("user_id").alias("record"), F.col("event_type").alias("field"), "value", F.col("ts").alias("at"), F.col("event_id").alias("device"))
-    sync.latest_stream(log, f"{at}/rows", f"{at}/log")
-    return spark.read.parquet(f"{at}/rows").select("record", "field", "value")
+    return sync.latest_stream(log, stores.shared(spark, "stream")).select("record", "field", "value")
+
+
+def variant_pages(spark, d):
+    """page_id and html: by the key's remainder by 6 a graph, sections, numbers, odd images, microdata with nutrition, an empty recipe."""
+    name, kind, size, key = F.col("p_name"), F.col("p_type"), F.col("p_size"), F.col("p_partkey")
+    script = lambda *xs: F.concat(F.lit("<p>x</p><script type='application/ld+json'>{bad</script><script type='application/ld+json'>"), *(F.lit(x) if isinstance(x, str) else x for x in xs), F.lit("</script>"))
+    graph = script('{"@graph": [{"@type": "WebSite", "name": "w"}, {"@type": ["Thing", "http://schema.org/Recipe"], "name": ["", "', name, '"], "prepTime": "PT1H', size, 'M", "recipeYield": [', size, ', "x"], "image": ["a", {"url": "b"}, {"contentUrl": "c"}, 5]}]}')
+    sections = script('[[{"@type": "\\u0052ecipe", "name": "', name, '", "cookTime": ', size, ', "yield": "six", "recipeInstructions": [{"@type": "HowToSection", "name": "', kind, '", "itemListElement": [{"@type": "HowToStep", "text": " s1 "}, {"name": "s2"}, "no"]}, " s3 ", {"text": ""}], "image": {"url": "", "contentUrl": "b"}}]]')
+    numbers = script('{"@type": "Recipe", "recipeIngredient": ["1 ', name, '", " ", 7], "nutrition": {"calories": ', size, '.9, "fatContent": -5, "sodiumContent": 1e21, "fiberContent": 1e-7, "sugarContent": "', size, '.5 g", "proteinContent": " 3 g", "carbohydrateContent": "1.2.3"}, "prepTime": "1 hour 30 minutes", "cookTime": -5}')
+    lines = script('{"@type": "Recipe", "name": 5, "nutrition": null, "recipeInstructions": "one\\n\\n', kind, '", "image": " i "}')
+    item = F.concat(F.lit('<div itemscope itemtype="http://schema.org/Recipe"><h1 itemprop="name"> '), name, F.lit('</h1><img itemprop="image" src="s.png"><a itemprop="image" href="h"></a><span itemprop="calories">999</span><div itemprop="nutrition" itemscope><i itemprop="calories">'), size, F.lit(' kcal</i><i itemprop="fatContent">.5 g</i></div><div itemprop="recipeInstructions" itemscope><b itemprop="name">mix</b></div><p itemprop="recipeInstructions">a\n\nb</p></div>'))
+    empty = script('{"@type": "Recipe", "image": "x"}')
+    html = F.element_at(F.array(graph, sections, numbers, lines, item, empty), (key % 6 + 1).cast("int"))
+    return _table(spark, d, "part").select(key.alias("page_id"), html.alias("html"))
+
+
+def extract_variants(spark, d):
+    """Every field of the records of `variant_pages`, with why a page has none."""
+    r = records.extracted(variant_pages(spark, d))
+    n = F.col("nutrition.value")
+    steps = F.array_join(F.transform("instructions", lambda s: F.concat(s["step_number"], F.lit("."), s["text"])), "|")
+    return r.select(
+        "id", "source", F.col("title.value").alias("title"), F.array_join("ingredients", "|").alias("ingredients"), steps.alias("steps"), F.col("prep_time_minutes.value").alias("prep"), F.col("cook_time_minutes.justification").alias("cook_why"), F.col("servings.value").alias("servings"), F.array_join("images.value", "|").alias("images"),
+        n["calories"].alias("calories"), n["fat_grams"].alias("fat"), n["sodium_mg"].alias("sodium"), n["fiber_grams"].alias("fiber"), n["sugar_grams"].alias("sugar"), n["protein_grams"].alias("protein"), n["carbs_grams"].alias("carbs"), F.col("nutrition.justification").alias("nutrition_why"), "error_type", "json_ld_error", "microdata_error",
+    )
+
+
+def extract_and_tag(spark, d):
+    """Pages to records to tags, in one pass."""
+    done = tagging.tagged_pages(records.extracted(marked_pages(spark, d)), tagging.Vocabulary(CUISINES))
+    return done.select("id", F.array_join(F.transform("tags.cuisine", lambda t: t["label"]), ",").alias("cuisines"), F.size("tags.diet").alias("diets"))
 
 
 def _extras(title, number, brand):
@@ -152,7 +168,7 @@ def interchange_round_trip(spark, d):
     return back.select("url", "title", "description", F.array_join("ingredients", " ").alias("ingredients"), F.get("instructions", F.lit(0))["text"].alias("step"), "prep", "cook", "servings", F.coalesce("error", F.nullif(changed, F.lit(""))).alias("error"))
 
 
-QUERIES: dict = {f.__name__: f for f in (record_extract, extract_negative, cuisine_tags, course_tags, diet_tags, label_counts, durations_all, robots_decision, robots_cache_latest, fetch_accept, upsert, patch, change_log_unpivot, lww_merge, stream_lww, interchange_round_trip)}
+QUERIES: dict = {f.__name__: f for f in (record_extract, extract_negative, cuisine_tags, course_tags, diet_tags, label_counts, durations_all, robots_decision, robots_cache_latest, fetch_accept, change_log_unpivot, lww_merge, stream_lww, extract_variants, extract_and_tag, interchange_round_trip)}
 
 _VOC = ", ".join(f"('{n}', {t}, {p}, {s}::VARCHAR[])" for n, t, p, s in CUISINES)
 _SIGNALS = f"""
@@ -166,23 +182,28 @@ course AS (SELECT id, label, round(0.40 * title::INT + 0.25 * parts + 0.15 * con
 _DIETS = ", ".join(f"('{n}', {x})" for n, x in tagging.DIETS)
 ORACLE: dict = {
     "record_extract": "SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN 'json_ld' WHEN 1 THEN 'microdata' END AS source, CASE WHEN p_partkey % 3 < 2 THEN p_name END AS title, CASE WHEN p_partkey % 3 < 2 THEN len(string_split(p_name, ' ')) ELSE 0 END::INT AS n_ingredients, CASE WHEN p_partkey % 3 < 2 THEN p_size::BIGINT END AS prep, CASE WHEN p_partkey % 3 < 2 THEN p_type END AS step, CASE WHEN p_partkey % 3 = 2 THEN 'no_recipe_found' END AS error_type FROM part",
-    "extract_negative": "SELECT page_id, 'no_recipe_found' AS error_type, substring(html, 1, 200) || '...' AS html_preview FROM pages",
+    "extract_negative": "SELECT page_id, 'no_recipe_found' AS error_type, CASE WHEN strlen(html) > 200 THEN substring(html, 1, 200) || '...' ELSE html END AS html_preview FROM pages",
     "cuisine_tags": _SIGNALS + "SELECT * FROM cuisine WHERE confidence >= 0.5",
     "course_tags": _SIGNALS + "SELECT * FROM course WHERE confidence >= 0.5",
     "label_counts": _SIGNALS + "SELECT label, count(*) AS pages FROM cuisine WHERE confidence >= 0.5 AND id % 3 < 2 GROUP BY 1",
-    "diet_tags": f"WITH v(label, outs) AS (VALUES {_DIETS}), o AS (SELECT l_orderkey AS id, bool_or(l_returnflag = 'A') AS a, bool_or(l_returnflag = 'R') AS r, count(*) FILTER (l_returnflag NOT IN ('A', 'R')) AS u FROM lineitem GROUP BY 1) SELECT id, label, round(1 - 0.2 * u, 6)::DOUBLE AS confidence FROM o, v WHERE u <= 2 AND NOT (a AND list_contains(outs, 'Dairy')) AND NOT (r AND list_has_any(outs, ['Meat', 'HighFat']))",
+    "diet_tags": f"WITH v(label, outs) AS (VALUES {_DIETS}), o AS (SELECT l_orderkey AS id, bool_or(l_returnflag = 'A') AS a, bool_or(l_returnflag = 'R') AS r, count(*) FILTER (l_returnflag NOT IN ('A', 'R')) AS u FROM lineitem GROUP BY 1) SELECT id, label, round(1 - 0.2 * u, 6)::DOUBLE AS confidence FROM o, v WHERE u <= 2 AND NOT (a AND list_contains(outs, 'ContainsDairy')) AND NOT (r AND list_has_any(outs, ['ContainsMeat', 'HighFat']))",
     "durations_all": "SELECT p_partkey, (p_size % 5 * 60 + p_size)::BIGINT AS iso, p_size::BIGINT AS flexible, (p_size % 5 * 60 + p_size)::BIGINT AS imported, 'PT' || p_size || 'M' AS exported FROM part",
     "robots_decision": "SELECT n_nationkey, CASE n_nationkey % 4 WHEN 0 THEN n_nationkey % 8 = 0 WHEN 2 THEN false ELSE true END AS allowed, CASE n_nationkey % 4 WHEN 0 THEN CASE WHEN n_nationkey % 8 = 0 THEN 'allowed by robots.txt' ELSE 'disallowed by User-agent: *' END WHEN 1 THEN 'robots.txt not found — allowed per RFC 9309' WHEN 2 THEN 'robots.txt unreachable' ELSE 'robots.txt oversized — treated as empty per policy' END || CASE WHEN n_nationkey % 3 = 0 THEN ' (stale cache)' ELSE '' END AS reason, n_nationkey::DOUBLE AS delay FROM nation",
-    "robots_cache_latest": "WITH l AS (SELECT user_id AS domain, ts, max(props) AS text, max(event_type) AS status FROM events GROUP BY 1, 2) SELECT domain, arg_max(text, ts) AS text, arg_max(status, ts) AS status FROM l GROUP BY 1",
+    "robots_cache_latest": "WITH l AS (SELECT user_id AS domain, ts, max(props) AS text, max(event_type) AS status FROM events GROUP BY 1, 2) SELECT domain, arg_max(text, ts) AS text, arg_max(status, ts) AS status FROM l GROUP BY 1 HAVING epoch(TIMESTAMP '2024-02-01') - epoch(date_trunc('second', max(ts))) <= 7 * 86400",
     "fetch_accept": "SELECT page_id, CASE WHEN page_id % 4 = 1 THEN 'http' WHEN page_id % 4 = 2 THEN 'content_type' WHEN strlen(html) > 10485760 THEN 'size' END AS error FROM pages",
-    "upsert": "WITH s AS (SELECT user_id * 3 AS key, max(event_type) AS title FROM events GROUP BY 1) SELECT coalesce(s.key, c_custkey) AS key, coalesce(s.title, c_name) AS title, c_custkey IS NULL AS created FROM customer FULL JOIN s ON s.key = c_custkey",
-    "patch": "WITH s AS (SELECT user_id, max(event_type) AS t FROM events GROUP BY 1) SELECT c_custkey AS id, coalesce(t, c_name) AS title, c_mktsegment AS notes FROM customer LEFT JOIN s ON user_id = c_custkey",
     "change_log_unpivot": "SELECT c_custkey AS record, 'title' AS field, c_name AS value FROM customer UNION ALL SELECT c_custkey, 'notes', c_mktsegment FROM customer WHERE c_mktsegment <> 'FURNITURE'",
-    "lww_merge": """WITH l AS (SELECT user_id, event_type, arg_max(value, (ts, event_id)) AS v, max(ts) AS t FROM events GROUP BY 1, 2),
-w AS (SELECT user_id, max(v) FILTER (event_type = 'click') AS c, max(v) FILTER (event_type = 'error') AS e, bool_or(event_type = 'signup') AS named,
- bool_or(event_type = 'signup') AND coalesce(max(t) FILTER (event_type <> 'signup') <= max(t) FILTER (event_type = 'signup'), true) AS gone FROM l GROUP BY 1)
-SELECT c_custkey AS id, CASE WHEN gone OR c IS NULL THEN -1.0 ELSE c END::DOUBLE AS click, CASE WHEN gone OR e IS NULL THEN -1.0 ELSE e END::DOUBLE AS error,
- coalesce(gone, false)::INT AS deleted, CASE WHEN NOT coalesce(gone, true) AND (c IS NOT NULL OR e IS NOT NULL) THEN 'new' ELSE 'old' END AS updated_at FROM customer LEFT JOIN w ON user_id = c_custkey""",
+    "lww_merge": """WITH e AS (SELECT user_id, CASE event_type WHEN 'error' THEN 'notes' ELSE event_type END AS field, CASE WHEN event_id % 4 > 0 THEN value END AS v, ts, event_id % 3 AS device FROM events),
+l AS (SELECT user_id, field, arg_max({'v': v}, (ts, device)) AS s, max(ts) AS t FROM e WHERE user_id IN (SELECT user_id FROM e WHERE device <> 0) GROUP BY 1, 2),
+w AS (SELECT user_id, any_value(s) FILTER (field = 'click') AS c, any_value(s) FILTER (field = 'notes') AS n, bool_or(field = 'signup') AS named,
+ bool_or(field = 'signup') AND coalesce(max(t) FILTER (field <> 'signup') <= max(t) FILTER (field = 'signup'), true) AS gone FROM l GROUP BY 1)
+SELECT c_custkey AS id, CASE WHEN NOT gone AND c IS NOT NULL THEN c.v ELSE -1.0 END::DOUBLE AS click, CASE WHEN NOT gone AND n IS NOT NULL THEN coalesce(n.v::VARCHAR, '') ELSE 'n' END AS notes,
+ coalesce(gone, false)::INT AS deleted, CASE WHEN NOT coalesce(gone, true) AND (c IS NOT NULL OR n IS NOT NULL) THEN 'new' ELSE 'old' END AS updated_at, user_id IS NOT NULL AS merged FROM customer LEFT JOIN w ON user_id = c_custkey""",
+    "extract_variants": """WITH p AS (SELECT *, p_partkey % 6 AS m FROM part) SELECT p_partkey AS id, CASE WHEN m < 4 THEN 'json_ld' WHEN m = 4 THEN 'microdata' END AS source, CASE WHEN m IN (0, 1, 4) THEN p_name END AS title, CASE WHEN m = 2 THEN '1 ' || p_name WHEN m < 5 THEN '' END AS ingredients,
+ CASE m WHEN 0 THEN '' WHEN 1 THEN '1.' || p_type || '|2.s1|3.s2|4.s3' WHEN 2 THEN '' WHEN 3 THEN '1.one|3.' || p_type WHEN 4 THEN '1.mix|2.a|3.b' END AS steps, CASE m WHEN 0 THEN 60 + p_size WHEN 2 THEN 7800 END::BIGINT AS prep,
+ CASE m WHEN 1 THEN NULL WHEN 2 THEN 'Could not parse value' ELSE 'Not found in source' END AS cook_why, CASE m WHEN 0 THEN p_size::VARCHAR WHEN 1 THEN 'six' END AS servings, CASE m WHEN 0 THEN 'a|b|c' WHEN 3 THEN 'i' WHEN 4 THEN 's.png|h' END AS images,
+ CASE WHEN m IN (2, 4) THEN p_size END::BIGINT AS calories, CASE m WHEN 2 THEN -5 WHEN 4 THEN 0.5 END::DOUBLE AS fat, CASE WHEN m = 2 THEN 4294967295 END::BIGINT AS sodium, CASE WHEN m = 2 THEN 1e-7 END::DOUBLE AS fiber, CASE WHEN m = 2 THEN p_size + 0.5 END::DOUBLE AS sugar, NULL::DOUBLE AS protein, NULL::DOUBLE AS carbs,
+ CASE WHEN m = 3 THEN 'Could not parse value' WHEN m NOT IN (2, 4) THEN 'Not provided' END AS nutrition_why, CASE WHEN m = 5 THEN 'no_recipe_found' END AS error_type, CASE m WHEN 4 THEN 'No JSON-LD scripts found' WHEN 5 THEN 'Recipe schema found but no content could be extracted' END AS json_ld_error, CASE WHEN m = 5 THEN 'No Recipe microdata itemscope found' END AS microdata_error FROM p""",
+    "extract_and_tag": _SIGNALS + "SELECT p_partkey AS id, CASE WHEN p_partkey % 3 < 2 THEN coalesce(c, '') END AS cuisines, CASE WHEN p_partkey % 3 = 2 THEN NULL WHEN len(string_split(p_name, ' ')) <= 2 THEN 15 ELSE 0 END::INT AS diets FROM part LEFT JOIN (SELECT cuisine.id, string_agg(label, ',' ORDER BY confidence DESC, list_position(['widget', 'small', 'gear'], label)) AS c FROM cuisine WHERE confidence >= 0.5 GROUP BY 1) x ON x.id = p_partkey",
     "interchange_round_trip": "SELECT 'http://x/' || p_partkey AS url, p_name AS title, NULL AS description, p_name AS ingredients, p_type AS step, p_size AS prep, NULL AS cook, p_brand AS servings, NULL AS error FROM part",
     "stream_lww": "SELECT user_id AS record, event_type AS field, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1",
 }

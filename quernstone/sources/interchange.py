@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quernstone.functions import durations
+from quernstone.operators import fields
 
 #: Fields of a record's nutrition, with their schema.org names, units and whether they are counts.
 NUTRITION = [
@@ -80,7 +81,7 @@ def _joined(first: Column, second: Column) -> Column:
     return F.concat(F.regexp_replace(first, r"\}$", ","), F.substring(second, 2, 1 << 30))
 
 
-def imported(lines: DataFrame, json_col: str = "json") -> DataFrame:
+def imported(lines: DataFrame, json_col: str = "json", keep: tuple[str, ...] = ()) -> DataFrame:
     """The record of every JSON text, or in `error` what it lacks; no row is dropped.
 
     Context, type, ingredients and steps with type, text and position are required; so
@@ -90,7 +91,7 @@ def imported(lines: DataFrame, json_col: str = "json") -> DataFrame:
     lists. Confidences are kept within 0 and 1. Notes are handed on, which the reference
     reads and drops.
     """
-    df = lines.select(F.col(f"`{json_col}`").alias("json")).withColumn("r", F.from_json("json", _IN, {"mode": "PERMISSIVE"}))
+    df = lines.select(*keep, F.col(f"`{json_col}`").alias("json")).withColumn("r", F.from_json("json", _IN, {"mode": "PERMISSIVE"}))
     step_ok = lambda s: s["@type"].isNotNull() & s["text"].isNotNull() & s["position"].isNotNull()
     tag_ok = lambda t: t["label"].isNotNull() & t["confidence"].isNotNull()
     parsed_ok = lambda i: i["name"].isNotNull() & i["rawText"].isNotNull()
@@ -113,6 +114,7 @@ def imported(lines: DataFrame, json_col: str = "json") -> DataFrame:
     tags = F.struct(*(F.coalesce(F.transform(F.col(f"r.`x-tags`.{d}"), clamped), F.array().cast("array<struct<label:string,confidence:double>>")).alias(d) for d in DOMAINS))
     source = F.col("r.`x-extractionSource`")
     return df.select(
+        *keep,
         F.col("r.name").alias("title"),
         F.col("r.description").alias("description"),
         F.transform(parsed, lambda i: i["raw_text"]).alias("ingredients"),
@@ -131,14 +133,64 @@ def imported(lines: DataFrame, json_col: str = "json") -> DataFrame:
     )
 
 
-def backed_up(tables: dict[str, DataFrame], folder: str) -> None:
-    """A snapshot of every table below `folder`."""
+def written_array(records: DataFrame, folder: str) -> None:
+    """Exported records (id, json) as one JSON array, in one file, a record a line, by id.
+
+    One file has one writer; use `records.write.text` where JSON lines will do.
+    """
+    place = F.row_number().over(Window.orderBy("id", "json"))
+    rows = records.select(F.col("id").cast("string").alias("id"), "json").withColumn("k", place)
+    # Every record but the first follows a comma.
+    rows = rows.select("k", F.when(F.col("k") > 1, F.concat(F.lit(","), "json")).otherwise(F.col("json")).alias("value"))
+    ends = records.sparkSession.createDataFrame([(0, "["), (1 << 30, "]")], "k int, value string")
+    rows.unionByName(ends).coalesce(1).sortWithinPartitions("k").select("value").write.mode("overwrite").text(folder)
+
+
+def array_items(spark: SparkSession, path: str) -> DataFrame:
+    """at (from 0) and json of every element of the JSON array in each file of `path`; a file that is none is an error."""
+    files = spark.read.text(path, wholetext=True).select(F.from_json("value", "array<variant>").alias("items"), F.col("value"))
+    parsed = files.withColumn("items", F.when(F.try_parse_json("value").isNull() | F.col("items").isNull(), F.raise_error(F.lit("Failed to parse JSON: no array"))).otherwise(F.col("items")))
+    return parsed.select(F.posexplode("items").alias("at", "v")).select("at", F.to_json("v").alias("json"))
+
+
+def imported_file(spark: SparkSession, path: str) -> DataFrame:
+    """`imported` over the elements of a JSON array file, with `at`, their place."""
+    items = array_items(spark, path)
+    return imported(items, keep=("at",))
+
+
+def as_saves(rows: DataFrame) -> DataFrame:
+    """Imported rows (with `at`) as saves of a store; what is missing was not found in the import."""
+    gone = "Not found in import"
+    return rows.select(
+        F.col("url").alias("source_url"),
+        F.col("at").alias("seq"),
+        *(fields.field(F.col(c), gone).alias(n) for n, c in (("title", "title"), ("description", "description"), ("servings", "servings"), ("prep_time_minutes", "prep"), ("cook_time_minutes", "cook"), ("images", "images"), ("nutrition", "nutrition"))),
+        "source",
+        F.col("ingredients_parsed").alias("ingredients"),
+        "instructions",
+        "tags",
+    )
+
+
+def backed_up(tables: dict[str, DataFrame], folder: str) -> dict:
+    """Writes a snapshot of every table below `folder`; its count of active recipes, path and bytes."""
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{folder}/{name}.parquet")
+    spark = next(iter(tables.values())).sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    size = path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+    return {"recipe_count": _active(spark.read.parquet(f"{folder}/recipes.parquet")), "file_path": folder, "file_size_bytes": size}
+
+
+def _active(recipes: DataFrame) -> int:
+    return (recipes.where("deleted = 0") if "deleted" in recipes.columns else recipes).count()
 
 
-def restored(spark: SparkSession, folder: str, names: list[str], needed: str = "recipes") -> dict[str, DataFrame]:
-    """The tables of a snapshot; reading fails where the needed table is not there."""
-    if needed not in names:
-        raise ValueError(f"a snapshot needs the table {needed}")
-    return {name: spark.read.parquet(f"{folder}/{name}.parquet") for name in names}
+def restored(spark: SparkSession, folder: str, names: list[str], needed: str = "recipes") -> tuple[dict[str, DataFrame], int]:
+    """The tables of a snapshot and its count of active recipes; a folder without `recipes` is none."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{needed}.parquet")
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        raise ValueError(f"Invalid backup: no {needed} table found")
+    tables = {name: spark.read.parquet(f"{folder}/{name}.parquet") for name in names}
+    return tables, _active(spark.read.parquet(f"{folder}/{needed}.parquet"))

@@ -1,12 +1,14 @@
 """Recipe records out of web pages: JSON-LD scripts first, then microdata.
 
 One Arrow pass parses HTML into plain values; durations, numbers and the status of
-each field are column expressions above it. A page that fails has an error in its row.
+each field are column expressions above it. A page that fails has an error in its row. Pages without a script or an item
+type hold no record and do not leave the JVM; Arrow batches are bounded in bytes by Spark.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -24,7 +26,7 @@ NUTRITION = [
     ("calories", "calories"), ("fat_grams", "fatContent"), ("saturated_fat_grams", "saturatedFatContent"), ("carbs_grams", "carbohydrateContent"),
     ("fiber_grams", "fiberContent"), ("sugar_grams", "sugarContent"), ("protein_grams", "proteinContent"), ("sodium_mg", "sodiumContent"),
 ]
-RAW = "source string, title string, description string, ingredients array<string>, steps array<struct<step_number:int,text:string>>, prep string, cook string, servings string, images array<string>, nutrition map<string,string>"
+RAW = "source string, title string, description string, ingredients array<string>, steps array<struct<step_number:int,text:string>>, prep string, cook string, servings string, images array<string>, nutrition map<string,double>"
 
 
 class _Tree(HTMLParser):
@@ -111,11 +113,23 @@ def _steps(value) -> list[tuple[int, str]]:
     return list(enumerate(out, 1))
 
 
+def _image(value) -> str | None:
+    """The trimmed text, or an object's `url`, its `contentUrl` only where it has no `url`."""
+    if isinstance(value, dict):
+        value = value["url"] if "url" in value else value.get("contentUrl")
+    return value.strip() or None if isinstance(value, str) else None
+
+
 def _images(value) -> list[str]:
-    out = []
-    for v in value if isinstance(value, list) else [value]:
-        out += _texts(v if isinstance(v, str) else (v.get("url") or v.get("contentUrl")) if isinstance(v, dict) else None)[:1]
-    return out
+    return [t for v in (value if isinstance(value, list) else [value]) if (t := _image(v))]
+
+
+def _amount(value) -> float | None:
+    """A number as it is, or the one a text begins with; no space may precede it."""
+    if _number(value):
+        return float(value) if abs(value) < 1 << 1023 else None
+    start = re.match("[0-9.]*", value)[0] if isinstance(value, str) else ""
+    return float(start) if start.count(".") < 2 and start.strip(".") else None
 
 
 def _duration(value) -> str | None:
@@ -140,7 +154,7 @@ def from_json(value: dict) -> dict:
         "cook": _duration(value.get("cookTime")),
         "servings": servings or (one("yield") if isinstance(value.get("yield"), str) else None),
         "images": _images(value.get("image")),
-        "nutrition": {n: str(facts[p]) for n, p in NUTRITION if _number(facts.get(p)) or isinstance(facts.get(p), str)} if isinstance(facts, dict) else None if "nutrition" not in value else {},
+        "nutrition": {n: a for n, p in NUTRITION if (a := _amount(facts.get(p))) is not None} if isinstance(facts, dict) else None if "nutrition" not in value else {},
     }
 
 
@@ -163,12 +177,13 @@ def from_microdata(tree: _Tree) -> dict | None:
             steps += filter(None, [_prop(tree, n, "text") or _prop(tree, n, "name") or tree.text(n)])
         else:
             steps += [line.strip() for line in tree.text(n).splitlines() if line.strip()]
-    facts = {n: t for n, p in NUTRITION if (t := _prop(tree, scope, p))}
+    within = next(iter(named("nutrition")), None)
+    facts = within and {n: a for n, p in NUTRITION if (a := _amount(_prop(tree, within, p))) is not None}
     images = [t for n in named("image") if (t := next((n["attrs"][a].strip() for a in ("src", "href", "content") if n["attrs"].get(a, "").strip()), None))]
     return {
         "source": "microdata", "title": _prop(tree, scope, "name"), "description": _prop(tree, scope, "description"), "ingredients": items,
         "steps": [{"step_number": i, "text": t} for i, t in enumerate(steps, 1)], "prep": _prop(tree, scope, "prepTime"), "cook": _prop(tree, scope, "cookTime"),
-        "servings": _prop(tree, scope, "recipeYield") or _prop(tree, scope, "yield"), "images": images, "nutrition": facts or None,
+        "servings": _prop(tree, scope, "recipeYield") or _prop(tree, scope, "yield"), "images": images, "nutrition": facts,
     }
 
 
@@ -176,23 +191,38 @@ def _has_content(r: dict | None) -> bool:
     return bool(r and (r["title"] or r["ingredients"] or r["steps"]))
 
 
-def plain_record(html: str | None) -> dict | None:
-    """The first JSON-LD recipe if it has content, else the microdata's, else null."""
-    if not html or "recipe" not in html.lower():
-        return None
+# Why no record was found, by way of finding one.
+NO_SCRIPTS, NO_SCHEMA, EMPTY_SCHEMA = "No JSON-LD scripts found", "No Recipe schema found in JSON-LD", "Recipe schema found but no content could be extracted"
+NO_SCOPE, EMPTY_SCOPE = "No Recipe microdata itemscope found", "Recipe microdata found but no content could be extracted"
+NO_RECIPE = "No structured recipe data found (JSON-LD or Microdata)"
+
+
+def _of_scripts(tree: _Tree) -> tuple[dict | None, str | None]:
+    """The record of the first script that holds a recipe, or why there is none; an empty recipe ends the search."""
+    scripts = [t for n in tree.nodes if n["tag"] == "script" and n["attrs"].get("type") == "application/ld+json" and (t := tree.text(n, ""))]
+    for text in scripts:
+        try:
+            found = _find(json.loads(text))
+        except (ValueError, RecursionError):
+            continue
+        if found is not None:
+            record = from_json(found)
+            return (record, None) if _has_content(record) else (None, EMPTY_SCHEMA)
+    return None, NO_SCHEMA if scripts else NO_SCRIPTS
+
+
+def plain_record(html: str | None) -> tuple[dict | None, str | None, str | None]:
+    """The first JSON-LD recipe if it has content, else the microdata's, else null; and why each way failed."""
+    if not html:
+        return None, NO_SCRIPTS, NO_SCOPE
     tree = _parsed(html)
-    for n in tree.nodes:
-        if n["tag"] == "script" and n["attrs"].get("type") == "application/ld+json":
-            try:
-                found = _find(json.loads(tree.text(n, "")))
-            except (ValueError, RecursionError):
-                continue
-            if found is not None:
-                if _has_content(record := from_json(found)):
-                    return record
-                break  # a recipe without content ends the search of scripts
+    record, json_error = _of_scripts(tree)
+    if record is not None:
+        return record, None, None
     record = from_microdata(tree)
-    return record if _has_content(record) else None
+    if _has_content(record):
+        return record, json_error, None
+    return None, json_error, NO_SCOPE if record is None else EMPTY_SCOPE
 
 
 def _field(value: Column, reason: str | Column) -> Column:
@@ -200,22 +230,30 @@ def _field(value: Column, reason: str | Column) -> Column:
     return F.struct(F.when(value.isNotNull(), "found").otherwise("not_found").alias("status"), value.alias("value"), F.when(value.isNull(), reason).alias("justification"))
 
 
+def previewed(html: Column) -> Column:
+    """The first 200 characters and three dots; a text of at most 200 bytes as it is."""
+    html = F.coalesce(html, F.lit(""))
+    return F.when(F.octet_length(html) > 200, F.concat(F.substring(html, 1, 200), F.lit("..."))).otherwise(html)
+
+
 def extracted(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """id, record fields with status and reason, and error_type (null: a record was found)."""
-    df = pages.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{html_col}`").alias("html"))
+    html = F.col(f"`{html_col}`")
+    low = F.lower(html)
+    # Names of tags and attributes have no escapes, so no record is lost here.
+    marked = low.contains("<script") | low.contains("itemtype")
+    df = pages.select(F.col(f"`{id_col}`").alias("id"), previewed(html).alias("preview"), F.when(marked, html).alias("html"))
     raw = T._parse_datatype_string(RAW)
-    out = T.StructType([df.schema["id"], T.StructField("r", raw), T.StructField("preview", T.StringType())])
+    out = T.StructType([*df.schema.fields[:2], T.StructField("r", raw), T.StructField("json_ld_error", T.StringType()), T.StructField("microdata_error", T.StringType())])
     schema = to_arrow_schema(out)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            html = b.column(1).to_pylist()
-            found = [plain_record(t) for t in html]
+            found, json_errors, item_errors = zip(*(plain_record(t.as_py()) for t in b.column(2)), strict=True) if len(b) else ((), (), ())
             for r in found:
                 if r and r["nutrition"] is not None:
                     r["nutrition"] = list(r["nutrition"].items())
-            previews = [None if r else (t or "")[:200] + "..." for t, r in zip(html, found, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, schema.field("r").type), pa.array(previews, pa.string())], schema=schema)
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(found, schema.field("r").type), pa.array(json_errors, pa.string()), pa.array(item_errors, pa.string())], schema=schema)
 
     r = df.mapInArrow(parse, out)
     gone, bad = "Not found in source", "Could not parse value"
@@ -224,8 +262,9 @@ def extracted(pages: DataFrame, id_col: str = "page_id", html_col: str = "html")
         text = F.col(f"r.{name}")
         return _field(durations.flexible_minutes(text), F.when(text.isNull(), gone).otherwise(bad))
 
-    number = {n: durations.leading_number(F.try_element_at("r.nutrition", F.lit(n))) for n, _ in NUTRITION}
-    whole = {n: (c.cast("bigint") if n in ("calories", "sodium_mg") else c) for n, c in number.items()}
+    number = {n: F.try_element_at("r.nutrition", F.lit(n)) for n, _ in NUTRITION}
+    count = lambda c: F.when(c.isNotNull(), F.least(F.greatest(c, F.lit(0.0)), F.lit(float((1 << 32) - 1)))).cast("bigint")  # noqa: E731  of 32 bits
+    whole = {n: (count(c) if n in ("calories", "sodium_mg") else c) for n, c in number.items()}
     facts = F.when(F.coalesce(*(c.cast("double") for c in whole.values())).isNotNull(), F.struct(*(c.alias(n) for n, c in whole.items())))
     return r.select(
         "id",
@@ -240,5 +279,8 @@ def extracted(pages: DataFrame, id_col: str = "page_id", html_col: str = "html")
         _field(F.when(F.size("r.images") > 0, F.col("r.images")), gone).alias("images"),
         _field(facts, F.when(F.col("r.nutrition").isNull(), "Not provided").otherwise(bad)).alias("nutrition"),
         F.when(F.col("r").isNull(), "no_recipe_found").alias("error_type"),
-        F.col("preview").alias("html_preview"),
+        F.when(F.col("r").isNull(), F.col("preview")).alias("html_preview"),
+        F.when(F.col("r").isNull(), NO_RECIPE).alias("message"),
+        "json_ld_error",
+        "microdata_error",
     )

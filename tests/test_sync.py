@@ -24,7 +24,7 @@ def test_lines_watermarks_and_status(spark, tmp_path):
 
 def test_snapshot_is_restored(spark, tmp_path):
     interchange.backed_up({"recipes": spark.range(3).toDF("id")}, str(tmp_path / "b"))
-    assert interchange.restored(spark, str(tmp_path / "b"), ["recipes"])["recipes"].count() == 3
+    assert interchange.restored(spark, str(tmp_path / "b"), ["recipes"])[1] == 3
 
 
 def test_interchange_keeps_all_properties(spark):
