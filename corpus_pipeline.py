@@ -1,4 +1,11 @@
-"""A corpus cleaned, deduplicated, mixed and packed, stage by stage."""
+"""A corpus cleaned, deduplicated, mixed and packed, stage by stage.
+
+Each stage works on all that the one before kept, read again from Parquet, and returns
+the columns of its input, the last one the places of documents in batches. Cases that all
+stages define: an empty table gives an empty result; further columns ride along, whatever
+their names, and play no part; what a null text, identifier or source means is with each
+stage; ties fall by identifier, so reruns agree.
+"""
 
 from __future__ import annotations
 
@@ -9,7 +16,11 @@ from quernstone.llm import common, entropy_mix, length_buckets, near_dedup, stre
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the factorization machine scores below its threshold."""
+    """Documents that the factorization machine scores below its threshold.
+
+    A null text counts as empty; very long texts are scored whole; repeated rows share a
+    score. Without labels of both classes all texts have one score.
+    """
     common.arrow_rows(spark)
     machine = toxicity.learn(docs, common.labels(spark, sf_dir))
     names = [f"c{i}" for i in range(len(docs.columns))]
@@ -19,23 +30,34 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each text."""
+    """One document of each text: the row with the largest identifier, null the least.
+
+    A null text counts as empty, so one of all empty and null texts stays.
+    """
     return stream_dedup.deduplicated(spark, docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: 5-word shingles, similarity 0.8."""
+    """One document of each group of near copies: 5-word shingles, similarity 0.8.
+
+    The row with the smallest identifier stays, null the largest. Texts without words are
+    near to nothing, so all of them stay.
+    """
     common.arrow_rows(spark)
     return near_dedup.deduplicated(spark, docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
+    """Documents as often as the mix of sources takes them, from 0 to 3 times.
+
+    A null source is a source of its own. Texts without words add nothing and are taken
+    by their source's rate as others are.
+    """
     return entropy_mix.copied(spark, docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bucket, batch and slot of every document that is left."""
+    """Bucket, batch and slot of every document that is left; a null text has length 0."""
     return length_buckets.packed(spark, docs)
 
 
