@@ -24,7 +24,7 @@ empty table gives an empty result. Further columns play no part.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -60,12 +60,15 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float =
     return rows.select("source", "source_size", F.when(F.col("full"), F.col("limit")).otherwise(share).cast("double").alias("target"))
 
 
-def multipliers(spark: SparkSession, cells: DataFrame, goals: DataFrame, cap: float = CAP, steps: int = 40, close: float = 1e-6) -> DataFrame:
+def multipliers(spark: SparkSession, cells: DataFrame, goals: DataFrame, cap: float = CAP, close: float = 1e-6, most: int = 400) -> DataFrame:
     """source and multiplier, by Newton steps over `cells` (source, size, n).
 
     A source whose target is its words times the cap has rate `cap` throughout: its
-    multiplier is infinite. Sources are a table too; nothing of them but the largest
-    relative gap reaches the driver.
+    multiplier is infinite. Each other one is stepped until its words are within `close`
+    of its target, as a share, or its bracket has no number in between; a step doubles the
+    multiplier at most, so a bracket is found and halved in far fewer than `most` turns,
+    and reaching them is an error. Sources are a table too; nothing of them but how many
+    are open reaches the driver.
     """
     mean = cells.groupBy("source").agg((F.sum(F.col("size") * F.col("n")) / F.greatest(F.sum("n"), F.lit(1))).alias("mean"))
     plain = (F.col("source_size") <= 0) | (F.col("target") >= cap * F.col("source_size") * (1 - 1e-12))
@@ -75,13 +78,23 @@ def multipliers(spark: SparkSession, cells: DataFrame, goals: DataFrame, cap: fl
         "target",
         "mean",
         F.when(plain, F.when(F.col("source_size") <= 0, 0.0).otherwise(F.lit(float("inf")))).otherwise(0.0).alias("multiplier"),
-        F.lit(-1e6).alias("low"),
-        F.lit(1e6).alias("high"),
+        F.lit(float("-inf")).alias("low"),
+        F.lit(float("inf")).alias("high"),
         plain.alias("done"),
     )
-    state = common.written(spark, state, "mix-newton")
+
+    def step(rows: DataFrame) -> tuple[DataFrame, int]:
+        seen = Observation()
+        table = common.written(spark, rows.observe(seen, F.count_if(~F.col("done")).alias("open")), "mix-newton")
+        return table, seen.get["open"]
+
+    state, left = step(state)
     lean = cells.where("size > 0")
-    for _ in range(steps):
+    turn = 0
+    while left:
+        if turn == most:
+            raise RuntimeError(f"{left} sources have no multiplier after {most} steps")
+        turn += 1
         at = state.where("not done").select(F.col("source").alias("s"), "mean", "multiplier")
         tilted = F.exp(F.least(F.col("multiplier") * F.col("size") / F.col("mean"), F.lit(60.0)))
         words = F.col("size") * F.col("n")
@@ -91,31 +104,27 @@ def multipliers(spark: SparkSession, cells: DataFrame, goals: DataFrame, cap: fl
             .agg(F.sum(words * F.least(tilted, F.lit(cap))).alias("taken"), F.sum(F.when(tilted < cap, words * tilted * F.col("size") / F.col("mean")).otherwise(0.0)).alias("slope"))
         )
         joined = state.join(sums, state["source"].eqNullSafe(sums["s"]), "left")
-        gap = F.col("taken") - F.col("target")
-        done = F.col("done") | (F.abs(gap) <= close * F.col("target"))
-        low, high = F.when(gap < 0, F.col("multiplier")).otherwise(F.col("low")), F.when(gap > 0, F.col("multiplier")).otherwise(F.col("high"))
-        newton = F.col("multiplier") - F.least(F.greatest(F.try_divide(gap, F.col("slope")), F.lit(-2.0)), F.lit(2.0))
+        gap, old = F.col("taken") - F.col("target"), F.col("multiplier")
+        low, high = F.when(gap < 0, old).otherwise(F.col("low")), F.when(gap > 0, old).otherwise(F.col("high"))
+        reach = F.greatest(F.abs(old), F.lit(2.0))  # how far a step may go where the bracket has no end
+        newton = old - F.least(F.greatest(F.coalesce(F.try_divide(gap, F.col("slope")), F.lit(0.0)), -reach), reach)
         inside = (newton > low) & (newton < high)
-        step = F.when(F.coalesce(inside, F.lit(False)), newton).otherwise((F.greatest(low, F.col("multiplier") - 4) + F.least(high, F.col("multiplier") + 4)) / 2)
-        new = F.when(done, F.col("multiplier")).otherwise(step)
-        state = common.written(
-            spark,
-            joined.select(
-                "source", "source_size", "target", "mean", new.alias("multiplier"), F.when(F.col("done"), F.col("low")).otherwise(low).alias("low"), F.when(F.col("done"), F.col("high")).otherwise(high).alias("high"), F.coalesce(done, F.lit(True)).alias("done")
-            ),
-            "mix-newton",
-        )
-        if not state.where("not done").limit(1).count():
-            break
+        halved = (F.greatest(low, old - reach) + F.least(high, old + reach)) / 2
+        new = F.when(inside, newton).otherwise(halved)
+        stuck = (new == old) | (new == low) | (new == high)
+        done = F.col("done") | F.coalesce((F.abs(gap) <= close * F.col("target")) | stuck, F.lit(True))
+        kept = lambda c, moved: F.when(F.col("done"), F.col(c)).otherwise(moved).alias(c)
+        state, left = step(joined.select("source", "source_size", "target", "mean", F.when(done, old).otherwise(new).alias("multiplier"), kept("low", low), kept("high", high), done.alias("done")))
     return state.select("source", "source_size", "target", "mean", "multiplier")
 
 
-def whole_copies(cells: DataFrame, duals: DataFrame, cap: float = CAP) -> DataFrame:
+def whole_copies(cells: DataFrame, duals: DataFrame, cap: float = CAP, block: int = 256) -> DataFrame:
     """source, size, n, base, extra: each of n documents has `base` copies, `extra` of them one more.
 
     The words that whole copies leave over are carried through a source's sizes, the
-    largest first. A source's sizes are as many as texts have different lengths, not
-    as many as it has documents, so they fit in one row.
+    largest first, block by block. A source's sizes are as many as texts have different
+    lengths, at most about the root of twice its words and not as many as it has
+    documents, so they fit in one row.
     """
     rate = F.when(F.col("multiplier") == float("inf"), F.lit(cap)).otherwise(F.least(F.lit(cap), F.exp(F.least(F.col("multiplier") * F.col("size") / F.greatest("mean", F.lit(1e-9)), F.lit(60.0)))))
     rated = cells.join(duals.withColumnRenamed("source", "s"), cells["source"].eqNullSafe(F.col("s"))).withColumn("rate", rate)
@@ -129,15 +138,27 @@ def whole_copies(cells: DataFrame, duals: DataFrame, cap: float = CAP) -> DataFr
         extra = F.when(cell["size"] > 0, F.least(F.greatest(F.round(want / cell["size"]), F.lit(0.0)), room.cast("double"))).otherwise(0.0).cast("bigint")
         return F.struct((want - extra * cell["size"]).cast("double").alias("owed"), F.concat(acc["extras"], F.array(extra)).alias("extras"))
 
-    start = F.struct(F.lit(0.0).alias("owed"), F.array().cast("array<bigint>").alias("extras"))
-    extras = F.aggregate("cells", start, carry, lambda acc: acc["extras"])
+    none = F.array().cast("array<bigint>")
+
+    def carried(acc: F.Column, cells: F.Column) -> F.Column:
+        """One block after another, so that no list grows by single values beyond a block."""
+        one = F.aggregate(cells, F.struct(acc["owed"].alias("owed"), none.alias("extras")), carry)
+        return F.struct(one["owed"].alias("owed"), F.concat(acc["blocks"], F.array(one["extras"])).alias("blocks"))
+
+    starts = F.sequence(F.lit(0), F.floor((F.size("cells") - 1) / block).cast("int"))
+    blocks = F.transform(starts, lambda i: F.slice("cells", i * block + 1, F.lit(block)))
+    start = F.struct(F.lit(0.0).alias("owed"), F.array().cast("array<array<bigint>>").alias("blocks"))
+    extras = F.flatten(F.aggregate(blocks, start, carried, lambda acc: acc["blocks"]))
     zipped = listed.select("source", F.explode(F.arrays_zip("cells", extras.alias("extras"))).alias("c"))
     cell = F.col("c")["cells"]
     return zipped.select("source", cell["size"].alias("size"), cell["n"].alias("n"), cell["base"].alias("base"), F.col("c")["extras"].alias("extra"))
 
 
-def mixed(spark: SparkSession, docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", salts: int = 64) -> DataFrame:
-    """A row for every document: id, at_file, at_row, source, size, source_size, target, copies."""
+def mixed(spark: SparkSession, docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", salt_rows: int = 20_000) -> DataFrame:
+    """A row for every document: id, at_file, at_row, source, size, source_size, target, copies.
+
+    Documents of one source and size are ranked in pieces of about `salt_rows` or fewer.
+    """
     rows = common.located(spark, docs, {"id": id_col, "t": text_col, "source": source_col}, "mix-docs")
     rows = rows.select(
         "id",
@@ -146,8 +167,10 @@ def mixed(spark: SparkSession, docs: DataFrame, weights: tuple[float, ...] = WEI
         F.col("source").cast("string").alias("source"),
         F.coalesce(F.regexp_count("t", F.lit(common.WORD)), F.lit(0)).cast("bigint").alias("size"),
         F.xxhash64("id", "t").alias("mix"),
-    ).withColumn("salt", F.pmod("mix", F.lit(salts)))
+    )
     rows = common.written(spark, rows, "mix-sizes")
+    salts = max(64, rows.count() // salt_rows)
+    rows = rows.withColumn("salt", F.pmod("mix", F.lit(salts)))
     parts = common.written(spark, rows.groupBy("source", "size", "salt").agg(F.count(F.lit(1)).alias("n")), "mix-parts")
     cells = common.written(spark, parts.groupBy("source", "size").agg(F.sum("n").alias("n")), "mix-cells")
     sizes = cells.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
