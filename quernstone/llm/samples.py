@@ -17,8 +17,8 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, folds: int, fold: i
 
     Rows without identifier or label are left out, as is the held-out fold. Of
     several labels of one document the largest counts; of repeated documents with
-    one identifier each row takes part. The choice is made on the labels alone and
-    its size is bounded, so it is broadcast to the scan of texts.
+    one identifier the greatest text, so the bound holds. The choice is made on the
+    labels alone and its size is bounded, so it is broadcast to the scan of texts.
     """
     known = (
         labels.select(F.col("doc_id").alias("id"), F.col(label).cast("int").alias("label"))
@@ -31,7 +31,8 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, folds: int, fold: i
     for value in (0, 1):
         part = known.where(F.col("label") == value).orderBy("turn", "id").limit(most_per_class)
         chosen = part if chosen is None else chosen.unionByName(part)
-    return docs.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "id")
+    rows = docs.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "id")
+    return rows.groupBy("id", "label", "turn").agg(F.max("text").alias("text"))
 
 
 def class_counts(labels: DataFrame, label: str, folds: int, fold: int) -> tuple[int, int]:

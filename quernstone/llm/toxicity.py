@@ -11,6 +11,9 @@ samples.py) and carried to the executors, whose scoring passes over whole texts
 without a shuffle. The sample holds both classes in equal parts; the intercept is
 moved back to the labelled rows' own odds.
 
+The sample's texts are turned into terms on the executors; what reaches the driver is
+their distinct hashes, at most BINS for each of the bounded rows.
+
 Defined cases: a null text counts as empty; a text without terms scores as the
 intercept says. Where labels hold only one class, or none, no term weighs anything
 and all texts score alike. An empty table gives an empty result.
@@ -88,33 +91,33 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, odds: float, factors: int =
     size, place = len(own), np.cumsum(values > 0) - 1
     w, v = np.zeros(size, np.float32), random.normal(0, 0.01, (size, factors)).astype(np.float32)
     gw, gv, bias, gb = np.ones(size, np.float32), np.ones((size, factors), np.float32), 0.0, 1.0
-    rows = [place[r[values[r] > 0]] for r in rows]
+    rows = [place[r[values[r] > 0]].astype(np.int32) for r in rows]
     for _ in range(epochs):
         order = random.permutation(len(rows))
         for at in range(0, len(order), batch):
             part = order[at : at + batch]
-            ids = np.concatenate([rows[i] for i in part])
+            # Only the batch's own terms move: all below is over them.
+            met, ids = np.unique(np.concatenate([rows[i] for i in part]), return_inverse=True)
             n = np.array([len(rows[i]) for i in part])
             z = 1 / np.sqrt(np.maximum(1, n))
             row, full = np.repeat(np.arange(len(part)), n), np.flatnonzero(n)
+            own_v, own_w = v[met], w[met]
             sums = np.zeros((len(part), factors))
             if len(full):
-                sums[full] = np.add.reduceat(np.take(v, ids, axis=0), (np.cumsum(n) - n)[full], axis=0) * z[full, None]
-            squares = np.bincount(row, np.take((v**2).sum(1), ids), len(part)) * z**2
-            logit = bias + np.bincount(row, np.take(w, ids), len(part)) + 0.5 * ((sums**2).sum(1) - squares)
+                sums[full] = np.add.reduceat(own_v[ids], (np.cumsum(n) - n)[full], axis=0) * z[full, None]
+            squares = np.bincount(row, (own_v**2).sum(1)[ids], len(part)) * z**2
+            logit = bias + np.bincount(row, own_w[ids], len(part)) + 0.5 * ((sums**2).sum(1) - squares)
             slope = 1 / (1 + np.exp(-np.clip(logit, -30, 30))) - labels[part]
-            each = lambda x: np.bincount(ids, np.repeat(x, n), size).astype(float)  # noqa: B023, E731
-            held = np.where(np.bincount(ids, minlength=size) > 0, decay, 0.0)  # only terms of this batch decay
-            dw = (each(slope) + held * w) * weighs
+            each = lambda x: np.bincount(ids, np.repeat(x, n), len(met))  # noqa: B023, E731
+            dw = (each(slope) + decay * own_w) * weighs[met]
             pull = sums * (slope * z)[:, None]
-            dv = np.stack([each(pull[:, f]) for f in range(factors)], 1)
-            dv += (held - each(slope * z**2))[:, None] * v
+            dv = np.stack([each(pull[:, f]) for f in range(factors)], 1) + (decay - each(slope * z**2))[:, None] * own_v
             db = float(slope.sum())
-            gw += dw**2
-            gv += dv**2
+            gw[met] += dw**2
+            gv[met] += dv**2
             gb += db**2
-            w -= (rate * dw / np.sqrt(gw)).astype(np.float32)
-            v -= (0.1 * rate * dv / np.sqrt(gv)).astype(np.float32)
+            w[met] -= (rate * dw / np.sqrt(gw[met])).astype(np.float32)
+            v[met] -= (0.1 * rate * dv / np.sqrt(gv[met])).astype(np.float32)
             bias -= rate * db / np.sqrt(gb)
     weights[own], vectors[own] = w, v
     share = labels.mean()
