@@ -19,6 +19,7 @@ a struct `mixture`, so other columns keep their names; one so called is replaced
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,7 +34,9 @@ from . import common
 
 FOLDS, FOLD = 4, 2
 BINS = 1 << 15
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Characters that count as word characters but are neither letters nor decimal digits, such as ² and Ⅷ.
+NUMERALS = "".join(c for c in map(chr, range(128, sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+LETTERS = re.compile(rf"[^\W\d_{NUMERALS}]+")
 
 MIXTURE = T.StructType(
     [
@@ -77,10 +80,12 @@ class Mixture:
         ids, counts = np.unique(grams, return_counts=True)
         p, own = self.chance[:, ids], np.arange(len(self.langs))
         share, fit = self._em(p, counts)
-        if len(own) > 8:  # those without any weight need no trial of their own
-            own = np.flatnonzero(share > 1e-3)
-            share, fit = self._em(p[own], counts)
         penalty = 0.5 * np.log(len(grams)) + 2.0
+        some = np.flatnonzero(share > 1e-3)
+        if 1 < len(own) - len(some):  # all that hold next to nothing, together, against their penalties
+            fewer, less = self._em(p[some], counts)
+            if fit - less <= penalty * (len(own) - len(some)):
+                own, share, fit = some, fewer, less
         while len(own) > 1:
             rest = np.delete(own, share.argmin())
             fewer, less = self._em(p[rest], counts)
@@ -91,11 +96,16 @@ class Mixture:
         return self.langs[own[best]], float(min(1.0, share[best])), [(self.langs[i], float(s)) for i, s in zip(own, share, strict=True)]
 
 
-def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most_per_language: int = 3000) -> Mixture:
-    """Fits on about `most_per_language` documents of each language outside the held-out fold."""
+def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most_per_language: int = 3000, most_languages: int = 1000) -> Mixture:
+    """Fits on about `most_per_language` documents of each language outside the held-out fold.
+
+    The model holds a row of BINS for each language, so more than `most_languages` are an error.
+    """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~common.held_out(F.col("id"), FOLDS, FOLD))
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row a language
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(most_languages + 1).collect()}
+    if len(sizes) > most_languages:
+        raise ValueError(f"more than {most_languages} languages")
     turn = F.pmod(F.xxhash64("id", F.lit(23)), F.lit(1 << 30))
     if not sizes:
         return Mixture([], np.zeros((0, BINS)))
