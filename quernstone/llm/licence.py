@@ -144,10 +144,11 @@ COPYRIGHT_LINE = r"(?m)^[ \t]*((copyright|copr\.?)[ \t]+(\(c\)|©|[0-9]{4})|\(c\
 
 
 def canonical(text: F.Column) -> F.Column:
+    """Lower-case words parted by single spaces; each word has spaces of its own while spellings are replaced."""
     out = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, " ")
-    out = F.concat(F.lit(" "), F.regexp_replace(out, r"[^a-z0-9\x{80}-\x{10FFFF}]+", " "), F.lit(" "))
+    out = F.concat(F.lit(" "), F.regexp_replace(out, r"[^a-z0-9\x{80}-\x{10FFFF}]+", "  "), F.lit(" "))
     for old, new in SPELLINGS:
-        out = F.replace(out, F.lit(f" {old} "), F.lit(f" {new} "))
+        out = F.replace(out, F.lit(f" {old.replace(' ', '  ')} "), F.lit(f" {new} "))
     return F.trim(F.regexp_replace(out, r" +", " "))
 
 
@@ -184,9 +185,9 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _sql_digest(text: str) -> str:
     line = COPYRIGHT_LINE.replace("(?m)", "")
     out = f"regexp_replace(lower({text}), '(?m){line}', ' ', 'g')"
-    out = f"' ' || regexp_replace({out}, '[^a-z0-9\\x{{80}}-\\x{{10FFFF}}]+', ' ', 'g') || ' '"
+    out = f"' ' || regexp_replace({out}, '[^a-z0-9\\x{{80}}-\\x{{10FFFF}}]+', '  ', 'g') || ' '"
     for old, new in SPELLINGS:
-        out = f"replace({out}, ' {old} ', ' {new} ')"
+        out = f"replace({out}, ' {old.replace(' ', '  ')} ', ' {new} ')"
     return f"sha256(trim(regexp_replace({out}, ' +', ' ', 'g')))"
 
 
