@@ -1,13 +1,16 @@
 """TIFF columns: directories walked, strips and tiles decoded, one row per page.
 
 The reader takes classic and big files of either byte order, strips or tiles, chunky
-or separate planes, uncompressed, PackBits, LZW or deflate data, samples of 8, 16, 32
-or 64 bits, and the horizontal and the floating-point predictor. The writer makes
-classic little-endian files with the same codecs, 8-bit samples and predictor 2.
-
-Defined cases: null or empty content gives one row with the error `no content`; a
-damaged file gives the pages before the damage and one row with an error; a chain of
-directories that returns to itself ends there. An empty table gives an empty result.
+or separate planes, uncompressed, PackBits, LZW or deflate data, samples of 1, 2, 4, 8, 16,
+32 or 64 bits in either fill order, and the horizontal and the floating-point predictor.
+Samples below 8 bits come out as one byte each. Directories that a directory has as
+children (reduced copies, masks) follow it as pages of their own, marked `child`. The
+writer makes classic little-endian files with the same codecs, 8-bit samples and predictor 2.
+
+Defined cases: null or empty content gives one row with the error `no content`; a page
+that cannot be read (a codec not named above, missing data) is a row with its error, and
+the walk goes on; damage to the chain of directories ends it with one row with an error;
+a chain that returns to itself ends there. A page of more than `MAX_PAGE_BYTES` is an error. An empty table gives an empty result.
 The page is a struct, so other columns keep their names; a column that is itself
 called `page` is replaced.
 """
@@ -28,16 +31,16 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from . import common
 
 # Fixed values of the TIFF 6.0 format: field types with their struct codes, tags, compressions.
-FIELD_CODES = {1: "B", 2: "c", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d", 16: "Q"}
+FIELD_CODES = {1: "B", 2: "c", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d", 13: "I", 16: "Q", 18: "Q"}
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC = 256, 257, 258, 259, 262
-STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_BYTES, PLANAR = 273, 277, 278, 279, 284
-PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_BYTES, SAMPLE_FORMAT = 317, 322, 323, 324, 325, 339
+FILL_ORDER, STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_BYTES, PLANAR = 266, 273, 277, 278, 279, 284
+PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_BYTES, CHILDREN, SAMPLE_FORMAT = 317, 322, 323, 324, 325, 330, 339
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 CODEC_NAMES = {NONE: "none", LZW: "lzw", DEFLATE: "deflate", OLD_DEFLATE: "deflate", PACKBITS: "packbits"}
 CLEAR, END, FIRST, MOST_CODES = 256, 257, 258, 4096
 
-#: A page with more decoded bytes than this is an error, not an allocation.
-MAX_PAGE_BYTES = 1 << 30
+#: What a binary cell holds: a page with more decoded bytes is an error, not an allocation.
+MAX_PAGE_BYTES = (1 << 31) - (1 << 16)
 
 PAGE = T.StructType(
     [
@@ -49,6 +52,7 @@ PAGE = T.StructType(
         T.StructField("codec", T.StringType()),
         T.StructField("predictor", T.IntegerType()),
         T.StructField("tiled", T.BooleanType()),
+        T.StructField("child", T.BooleanType()),
         T.StructField("data", T.BinaryType()),
         T.StructField("error", T.StringType()),
     ]
@@ -225,7 +229,8 @@ def write_tiff(pages: list[np.ndarray], compression: int = DEFLATE, predictor: i
     return bytes(body)
 
 
-def _directories(data: bytes) -> Iterator[tuple[str, dict[int, tuple]]]:
+def _directories(data: bytes) -> Iterator[tuple[str, dict[int, tuple], bool]]:
+    """Byte order, fields and whether it is a child, of every directory of the chain; children follow their parent."""
     order = {b"II": "<", b"MM": ">"}.get(data[:2])
     if not order:
         raise ValueError("not a TIFF file")
@@ -233,26 +238,38 @@ def _directories(data: bytes) -> Iterator[tuple[str, dict[int, tuple]]]:
     if magic not in (42, 43):
         raise ValueError("not a TIFF file")
     count, size, offset = ("H", 12, "I") if magic == 42 else ("Q", 20, "Q")
-    width = struct.calcsize(offset)
-    at, seen = struct.unpack_from(order + offset, data, 4 if magic == 42 else 8)[0], set()
-    while at and at not in seen:
-        seen.add(at)
-        entries = struct.unpack_from(order + count, data, at)[0]
-        at += struct.calcsize(count)
-        fields = {}
-        for i in range(entries):
-            tag, kind, n = struct.unpack_from(f"{order}HH{offset}", data, at + i * size)
-            code = FIELD_CODES.get(kind)
-            if not code:
-                continue
-            where = at + i * size + 4 + width
-            if n * struct.calcsize(code) > width:
-                where = struct.unpack_from(order + offset, data, where)[0]
-            if where + n * struct.calcsize(code) > len(data):
-                raise ValueError(f"field {tag} reaches beyond the file")
-            fields[tag] = struct.unpack_from(f"{order}{n}{code}", data, where)
-        yield order, fields
-        at = struct.unpack_from(order + offset, data, at + entries * size)[0]
+    width, seen = struct.calcsize(offset), set()
+
+    def chain(at: int, child: bool) -> Iterator[tuple[str, dict[int, tuple], bool]]:
+        while at and at not in seen:
+            seen.add(at)
+            entries = struct.unpack_from(order + count, data, at)[0]
+            at += struct.calcsize(count)
+            fields = {}
+            for i in range(entries):
+                tag, kind, n = struct.unpack_from(f"{order}HH{offset}", data, at + i * size)
+                code = FIELD_CODES.get(kind)
+                if not code:
+                    continue
+                where = at + i * size + 4 + width
+                if n * struct.calcsize(code) > width:
+                    where = struct.unpack_from(order + offset, data, where)[0]
+                if where + n * struct.calcsize(code) > len(data):
+                    raise ValueError(f"field {tag} reaches beyond the file")
+                fields[tag] = struct.unpack_from(f"{order}{n}{code}", data, where)
+            yield order, fields, child
+            for place in fields.get(CHILDREN, ()):
+                yield from chain(place, True)
+            at = struct.unpack_from(order + offset, data, at + entries * size)[0]
+
+    yield from chain(struct.unpack_from(order + offset, data, 4 if magic == 42 else 8)[0], False)
+
+
+def _unpacked(raw: bytes, bits: int, rows: int, row_samples: int) -> np.ndarray:
+    """Samples of 1, 2 or 4 bits as bytes; each row starts at a byte of its own."""
+    stride = -(-row_samples * bits // 8)
+    packed = np.frombuffer(raw, np.uint8, rows * stride).reshape(rows, stride)
+    return np.unpackbits(packed, axis=1).reshape(rows, -1, bits).dot(1 << np.arange(bits)[::-1])[:, :row_samples].astype(np.uint8)
 
 
 def _undo(block: np.ndarray, predictor: int, order: str) -> np.ndarray:
@@ -269,14 +286,24 @@ def _undo(block: np.ndarray, predictor: int, order: str) -> np.ndarray:
     raise ValueError(f"predictor {predictor} does not fit the samples")
 
 
+#: Every byte with its bits in reverse.
+_TURNED = bytes(int(f"{i:08b}"[::-1], 2) for i in range(256))
+
+
 def read_page(data: bytes, order: str, fields: dict[int, tuple], number: int, most: int = MAX_PAGE_BYTES) -> dict:
     one = lambda tag, default: fields.get(tag, (default,))[0]
     w, h, n = one(WIDTH, 0), one(HEIGHT, 0), one(SAMPLES, 1)
     bits, compression, predictor, planar = one(BITS, 1), one(COMPRESSION, 1), one(PREDICTOR, 1), one(PLANAR, 1)
     kind = {1: "u", 2: "i", 3: "f"}.get(one(SAMPLE_FORMAT, 1), "u")
-    if bits not in (8, 16, 32, 64) or (kind == "f" and bits == 8):
+    small = bits in (1, 2, 4) and kind == "u"
+    if not small and bits not in (8, 16, 32, 64) or (kind == "f" and bits == 8):
         raise ValueError(f"samples of {bits} bits are not read")
-    dtype = np.dtype(f"{order}{kind}{bits // 8}")
+    if small and predictor != 1:
+        raise ValueError(f"predictor {predictor} does not fit the samples")
+    if len(set(fields.get(BITS, (bits,)))) > 1:
+        raise ValueError("samples of different widths are not read")
+    dtype = np.dtype(np.uint8) if small else np.dtype(f"{order}{kind}{bits // 8}")
+    turned = one(FILL_ORDER, 1) == 2
     if w * h * n * dtype.itemsize > most:
         raise ValueError(f"page of {w} x {h} is beyond {most} bytes")
     tiled = TILE_WIDTH in fields
@@ -294,25 +321,33 @@ def read_page(data: bytes, order: str, fields: dict[int, tuple], number: int, mo
         plane, cell = divmod(i, grid)
         y, x = cell // per_row * down, cell % per_row * across
         rows = down if tiled else min(down, h - y)
-        size = rows * across * depth * dtype.itemsize
-        raw = _decode(data[offsets[i] : offsets[i] + sizes[i]], compression, size)
+        size = rows * -(-across * depth * bits // 8)
+        stored = data[offsets[i] : offsets[i] + sizes[i]]
+        raw = _decode(stored.translate(_TURNED) if turned else stored, compression, size)
         if len(raw) < size:
             raise ValueError("data ends early")
-        block = _undo(np.frombuffer(raw, dtype, rows * across * depth).reshape(rows, across, depth), predictor, order)
+        values = _unpacked(raw, bits, rows, across * depth) if small else np.frombuffer(raw, dtype, rows * across * depth)
+        block = _undo(values.reshape(rows, across, depth), predictor, order)
         out[y : y + rows, x : x + across, plane : plane + depth] = block[: h - y, : w - x]
     return {"number": number, "width": w, "height": h, "samples": n, "bits": bits, "codec": CODEC_NAMES[compression], "predictor": predictor, "tiled": tiled, "data": out.astype(out.dtype.newbyteorder("<"), copy=False).tobytes(), "error": None}
 
 
-def read_tiff(data: bytes | None) -> Iterator[dict]:
-    """The pages of a file as rows; what cannot be read ends in a row with an error."""
+def read_tiff(data: bytes | None, most: int = MAX_PAGE_BYTES) -> Iterator[dict]:
+    """The pages of a file as rows; a page that cannot be read is a row with an error, and so is a broken chain."""
     number, blank = 0, dict.fromkeys(PAGE.names)
+    faults = (ValueError, struct.error, zlib.error, IndexError, OverflowError, MemoryError)
+    walk = _directories(data) if data else iter(())
     try:
         if not data:
             raise ValueError("no content")
-        for order, fields in _directories(data):
-            yield read_page(data, order, fields, number)
+        for order, fields, child in walk:
+            try:
+                page = read_page(data, order, fields, number, most) | {"child": child}
+            except faults as e:
+                page = blank | {"number": number, "child": child, "error": str(e) or type(e).__name__}
+            yield page
             number += 1
-    except (ValueError, struct.error, zlib.error, IndexError, OverflowError) as e:
+    except faults as e:
         yield blank | {"number": number, "error": str(e)}
 
 
