@@ -224,6 +224,52 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.where(both * 100 >= (F.size("x") + F.size("y") - both) * percent).select("a", "b")
 
 
+#: Sizes of the sets of shared elements that family keys are made of, and how many keys a size may cost a member.
+_LEVELS, _MOST_KEYS = (1, 2, 4, 8, 16), 70
+
+
+def _family_keys(rows: DataFrame, w: int) -> DataFrame:
+    """Rows (family, node, root, n, s, outer, band, partners, l) as keys: key, side, native and reach, see `family_links`."""
+    kept = [f for f in rows.schema.fields if f.name not in ("family", "band", "partners", "l")]
+    fields = [T.StructField("key", T.LongType()), T.StructField("side", T.IntegerType()), T.StructField("native", T.BooleanType()), T.StructField("reach", T.LongType())]
+    out = T.StructType([*kept, *fields])
+    schema = to_arrow_schema(out)
+
+    def of_member(family: int, band: int, s: int, own: np.ndarray, partners: list[dict]) -> Iterator[tuple]:
+        from itertools import combinations
+        from math import comb
+
+        for p in partners:
+            spare = len(own) - p["need"]
+            if spare < 0:
+                continue
+            low, high = sorted((band, p["band"]))
+            level = max(x for x in _LEVELS if x == 1 or (x <= p["need"] and comb(spare + x, x) <= _MOST_KEYS))
+            for size in _LEVELS[: _LEVELS.index(level) + 1]:
+                places = np.arange(spare + 1)[:, None] if size == 1 else np.array(list(combinations(range(spare + size), size)))
+                key = np.full(len(places), (family * 64 + low) * 64 + high, np.int64).view(np.uint64) * _SEED1 + np.uint64(size)
+                for j in range(size):
+                    key = _mixed(key * _SEED2 + own[places[:, j]])
+                side = 2 if low == high else int(band == high)
+                yield key, np.full(len(key), side, np.int32), np.full(len(key), size == level), w * (size + len(own) - 1 - places[:, -1]) + s
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            columns = {n: b.column(n).to_pylist() for n in ("family", "band", "s", "partners")}
+            lists, at, made = b.column("l"), [], []
+            for i in range(len(b)):
+                found = list(of_member(columns["family"][i], columns["band"][i], columns["s"][i], lists[i].values.to_numpy().view(np.uint64), columns["partners"][i]))
+                at.append(np.full(sum(len(x[0]) for x in found), i))
+                made += found
+            if not made:
+                continue
+            same = b.take(pa.array(np.concatenate(at)))
+            key, side, native, reach = (np.concatenate(x) for x in zip(*made, strict=True))
+            yield pa.RecordBatch.from_arrays([*(same.column(f.name) for f in kept), pa.array(key.view(np.int64)), pa.array(side), pa.array(native), pa.array(reach)], schema=schema)
+
+    return rows.mapInArrow(spread, out)
+
+
 def family_links(tables: common.Scratch, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) that join the members (node, root, family) of each family as all their links would.
 
@@ -236,26 +282,32 @@ def family_links(tables: common.Scratch, members: DataFrame, sets: DataFrame, pe
 
     The member with the largest s is the family's top. Members with s(x) + s(top) >= 0
     are linked to it for sure, and two members with s(x) + s(y) >= 0 both are. Any other
-    link takes a shared element of z and one member, at least, that is not so linked.
-    Elements are ordered by how many z hold them, the rarest first. If the first shared
-    one has r(x) elements from there to the end of z(x) that any other z holds, the two
-    share at most min(r(x), r(y)): pairs are made at such elements alone, and only where
-    these bounds and the sizes leave a link possible. What no partner in an element's
-    list can meet leaves the list before pairs are made. Full sets of differences decide.
+    link has an outer member, one that is not so linked, and takes shared elements of z.
+    How many depends on s of both, so members are put in bands by the logarithm of their
+    distance from the top's s, and each looks for partners band by band: a partner in a band
+    whose largest s is m shares at least need = -(s(x) + m) / w elements with x.
+
+    Elements that only one z holds aside, z(x) is a list, the rarest first. Members that
+    share `need` of them share the first l shared ones within the first |list| - need + l
+    places of both lists, so keys are the sets of l elements of that prefix, for l of 1, 2,
+    4, ...: as long as they are few (`_MOST_KEYS`), where lists hardly exceed what is
+    needed. A member makes the keys of its own l, natively, and of all smaller ones, as a
+    guest; a pair meets at the smaller l of the two, so guests never meet guests. After the
+    last element of a key, `reach` tells how much two members can still share: pairs
+    are made only where that and the sizes leave a link possible, and what no partner in a
+    key's list can meet leaves the list before. Full sets of differences decide.
     """
     w = 2 * (100 + percent)
     many = members.groupBy("family").agg(F.count(F.lit(1)).alias("many"))
     members = tables.table(members.join(common.broadcast_if_small(many, many.count()), "family"), "members")
     own = members.join(sets.select("node", "items"), "node")
-    held = own.groupBy("family", "many").agg(F.count(F.lit(1))).select("family", "many")  # families whose sets are there
-    counted = own.select("family", F.explode("items").alias("e")).groupBy("family", "e").agg(F.count(F.lit(1)).alias("c"))
-    counted = counted.join(common.broadcast_if_small(held, many.count()), "family")
+    counted = own.select("family", "many", F.explode("items").alias("e")).groupBy("family", "many", "e").agg(F.count(F.lit(1)).alias("c"))
     base = F.col("c") * 2 > F.col("many")
-    counted = tables.table(counted.select("family", "e", base.alias("base"), F.when(base, F.col("many") - F.col("c")).otherwise(F.col("c")).alias("zc")).where("base or zc > 1"), "elements")
+    counted = tables.table(counted.select("family", "many", "e", base.alias("base"), F.when(base, F.col("many") - F.col("c")).otherwise(F.col("c")).alias("zc")).where("base or zc > 1"), "elements")
 
     # A family's B goes to as many pieces as it has thousands of members.
     pieces = F.floor(F.col("many") / 1000).cast("int") + 1
-    bases = counted.where("base").groupBy("family").agg(F.collect_list("e").alias("b")).join(many, "family")
+    bases = counted.where("base").groupBy("family", "many").agg(F.collect_list("e").alias("b"))
     bases = bases.select("family", "b", F.explode(F.sequence(F.lit(0), pieces - 1)).alias("piece"))
     own = own.withColumn("piece", F.pmod(F.xxhash64("node"), pieces.cast("bigint")).cast("int")).join(bases, ["family", "piece"], "left")
     b = F.coalesce("b", F.array().cast("array<bigint>"))
@@ -263,28 +315,37 @@ def family_links(tables: common.Scratch, members: DataFrame, sets: DataFrame, pe
     n = F.size("items")
     told = own.select("family", "node", "root", n.alias("n"), z.alias("z"), ((100 - percent) * n - (100 + percent) * F.size(z)).cast("bigint").alias("s"))
     told = tables.table(told, "told")
-    tops = tables.table(told.groupBy("family").agg(F.max(F.struct("s", "node")).alias("top")).select("family", F.col("top.s").alias("top_s"), F.col("top.node").alias("top")), "tops")
-    topped = told.join(common.broadcast_if_small(tops, tops.count()), "family")
-    sure = topped.where("s + top_s >= 0 and node <> top").select(F.least("node", "top").alias("a"), F.greatest("node", "top").alias("b"))
-
-    who = ["family", "node", "root", "n", "s", "top_s"]
-    listed = topped.select(*who, F.explode("z").alias("e")).join(counted.where("zc > 1").select("family", "e", "zc"), ["family", "e"])
-    listed = listed.groupBy(*who).agg(F.sort_array(F.collect_list(F.struct("zc", "e"))).alias("l"))
-    need = F.greatest(F.lit(1), F.ceil(-(F.col("s") + F.col("top_s")) / w)).cast("int")
-    rest = F.size("l") - F.col("at")
-    rows = listed.select(*who, "l", F.posexplode(F.slice("l", 1, F.greatest(F.lit(0), F.size("l") - need + 1))).alias("at", "x"))
-    rows = rows.select("family", F.col("x.e").alias("e"), "node", "root", "n", "s", (w * rest + F.col("s")).alias("reach"), (F.col("s") + F.col("top_s") < 0).alias("outer"))
-    rows = tables.table(rows, "lists")
+    tops = told.groupBy("family").agg(F.max(F.struct("s", "node")).alias("top")).select("family", F.col("top.s").alias("top_s"), F.col("top.node").alias("top"))
+    tops = tables.table(tops, "tops")
+    topped = told.join(common.broadcast_if_small(tops, tops.count()), "family").withColumn("outer", F.col("s") + F.col("top_s") < 0)
+    sure = topped.where("not outer and node <> top").select(F.least("node", "top").alias("a"), F.greatest("node", "top").alias("b"))
+    topped = topped.withColumn("band", F.floor(F.log2(1 + (F.col("top_s") - F.col("s")) / w)).cast("int"))
+    bands = topped.groupBy("family", "band").agg(F.max("s").alias("most"), F.max(F.when(F.col("outer"), F.col("s"))).alias("outer_most"))
+    # A few bands a family; families without outer members have no more links.
+    bands = bands.groupBy("family").agg(F.collect_list(F.struct("band", "most", "outer_most")).alias("bands"), F.max("outer_most").alias("any")).where("any is not null").drop("any")
+    bands = tables.table(bands, "bands")
+    able = F.filter("bands", lambda b: F.col("outer") | b["outer_most"].isNotNull())
+    need = lambda b: F.greatest(F.lit(1), F.ceil(-(F.col("s") + F.when(F.col("outer"), b["most"]).otherwise(b["outer_most"])) / w)).cast("int")
+    partners = F.transform(able, lambda b: F.struct(b["band"].alias("band"), need(b).alias("need")))
+
+    shared = told.select("family", "node", F.explode("z").alias("e")).join(counted.where("zc > 1").select("family", "e", "zc"), ["family", "e"])
+    lists = shared.groupBy("node").agg(F.transform(F.sort_array(F.collect_list(F.struct("zc", "e"))), lambda x: x["e"]).alias("l"))
+    listed = topped.join(bands, "family").select("family", "node", "root", "n", "s", "outer", "band", partners.alias("partners")).join(lists, "node")
+    rows = tables.table(_family_keys(listed.where(F.exists("partners", lambda p: p["need"] <= F.size("l"))), w), "lists")
+    best = lambda c, test: F.max(F.when(F.expr(test), F.col(c))) if test else F.max(c)
     for _ in range(2):
-        outer = lambda c: F.max(F.when(F.col("outer"), F.col(c)))
-        best = rows.groupBy("family", "e").agg(F.count(F.lit(1)).alias("k"), F.max("s").alias("s1"), F.max("reach").alias("r1"), outer("s").alias("s2"), outer("reach").alias("r2")).where("k > 1 and s2 is not null")
-        met = rows.join(best, ["family", "e"]).where(F.when(F.col("outer"), (F.col("reach") + F.col("s1") >= 0) & (F.col("s") + F.col("r1") >= 0)).otherwise((F.col("reach") + F.col("s2") >= 0) & (F.col("s") + F.col("r2") >= 0)))
+        # A guest meets natives, an inner member outer ones.
+        kinds = {"gi": "native and outer", "go": "native", "ni": "outer", "no": ""}
+        most = rows.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.count_if("native").alias("natives"), F.count_if("outer").alias("outers"), F.min("side").alias("side_0"), F.max("side").alias("side_1"), *(best(c, test).alias(f"{c}_{kind}") for kind, test in kinds.items() for c in ("s", "reach")))
+        able = lambda kind: (F.col("reach") + F.col(f"s_{kind}") >= 0) & (F.col("s") + F.col(f"reach_{kind}") >= 0)
+        fits = F.when(F.col("native"), F.when(F.col("outer"), able("no")).otherwise(able("ni"))).otherwise(F.when(F.col("outer"), able("go")).otherwise(able("gi")))
+        met = rows.join(most.where("k > 1 and natives > 0 and outers > 0 and (side_0 < side_1 or side_0 = 2)"), "key").where(F.coalesce(fits, F.lit(False)))
         rows = tables.table(met.select(*rows.columns), "lists")
-    one, two = rows.where("outer").alias("x"), rows.alias("y")
+    one, two = rows.where("native").alias("x"), rows.alias("y")
     able = (F.col("x.reach") + F.col("y.s") >= 0) & (F.col("y.reach") + F.col("x.s") >= 0) & (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent)
-    apart = (F.col("x.root") != F.col("y.root")) & (~F.col("y.outer") | (F.col("x.node") < F.col("y.node")))
-    same = (F.col("x.family") == F.col("y.family")) & (F.col("x.e") == F.col("y.e"))
-    pairs = tables.table(one.join(two, same & apart & able).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct(), "pairs")
+    apart = (F.col("x.root") != F.col("y.root")) & ((F.col("x.side") != F.col("y.side")) | (F.col("x.side") == 2)) & (F.col("x.outer") | F.col("y.outer")) & (~F.col("y.native") | (F.col("x.node") < F.col("y.node")))
+    pairs = one.join(two, (F.col("x.key") == F.col("y.key")) & apart & able).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+    pairs = tables.table(pairs.distinct(), "pairs")
     first, second = (told.select(F.col("node").alias(node), F.col("z").alias(z), F.col("s").alias(s)) for node, z, s in (("a", "za", "sa"), ("b", "zb", "sb")))
     found = pairs.join(first, "a").join(second, "b").where(F.col("sa") + F.col("sb") + w * F.size(F.array_intersect("za", "zb")) >= 0)
     return tables.table(sure.unionByName(found.select("a", "b")), "family-links")

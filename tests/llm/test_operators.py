@@ -174,13 +174,10 @@ def test_pairs_tell_where_no_term_does():
     assert np.mean([(machine.logit(t) > 0) == y for t, y in zip(terms, labels, strict=True)]) > 0.95
 
 
-def test_near_dedup_word_codes_and_parity(monkeypatch):
+def test_near_dedup_word_codes(monkeypatch):
     texts = ["a B c a b", "  x\ty ", "", "é É z", "w" * 40 + " q", "one"]
     whole = [near_dedup._word_codes(t.encode()).tolist() for t in texts]
     assert [len(w) for w in whole] == [len(t.encode().split()) for t in texts]
     for piece in (1, 3, 8):
         monkeypatch.setattr(near_dedup, "_PIECE", piece)
         assert [near_dedup._word_codes(t.encode()).tolist() for t in texts] == whole
-    a, b = np.arange(0, 900, dtype=np.uint64), np.arange(100, 1000, dtype=np.uint64)
-    apart = sum(int(x).bit_count() for x in (near_dedup.parity(a) ^ near_dedup.parity(b)).view(np.uint64))
-    assert apart == 200
