@@ -6,13 +6,13 @@ a weight for each term the model has a short vector, so that the product of two
 vectors scores the pair: an insult beside a group's name counts for more than both
 alone. Vectors are kept for all terms met at least `least` times in the sample, so pairs
 tell whose terms alone do not. A weight of its own has only a term whose presence goes
-with the label: of a likelihood ratio that chance gives one term in 10,000. It is fitted on the driver from a bounded sample of labelled rows (see
-samples.py) and carried to the executors, whose scoring passes over whole texts
-without a shuffle. The sample holds both classes in equal parts; the intercept is
+with the label: of a likelihood ratio that chance gives one term in 10,000. It is fitted by one task from
+a bounded sample of labelled rows (see samples.py) and carried to all executors, whose
+scoring passes over whole texts without a shuffle. The sample holds both classes in equal parts; the intercept is
 moved back to the labelled rows' own odds.
 
-The sample's texts are turned into terms on the executors; what reaches the driver is
-their distinct hashes, at most BINS for each of the bounded rows.
+The sample's texts are turned into terms where they are read; the driver gets the model
+alone, a row for each of at most BINS hashes.
 
 Defined cases: a null text counts as empty; a text without terms scores as the
 intercept says. Where labels hold only one class, or none, no term weighs anything
@@ -52,18 +52,20 @@ class Machine:
     """score = bias + sum w x + sum over pairs of (v_i . v_j) z_i z_j, through a sigmoid.
 
     x is 1 for a present term with a vector; z is x over the root of their number, so
-    that a long text's many pairs do not outweigh its terms."""
+    that a long text's many pairs do not outweigh its terms. `ids` are the hashes of the
+    terms with a vector, ascending."""
 
     bias: float
+    ids: np.ndarray
     weights: np.ndarray
     vectors: np.ndarray
-    values: np.ndarray  # x of a present term
 
-    def logit(self, ids: np.ndarray) -> float:
-        ids = ids[self.values[ids] > 0]
-        own = self.vectors[ids]
-        pairs = 0.5 * float((own.sum(0) ** 2 - (own**2).sum(0)).sum()) / max(1, len(ids))
-        return self.bias + float(self.weights[ids].sum()) + pairs
+    def logit(self, found: np.ndarray) -> float:
+        at = np.searchsorted(self.ids, found)
+        at = at[self.ids[np.minimum(at, len(self.ids) - 1)] == found] if len(self.ids) else at[:0]
+        own = self.vectors[at]
+        pairs = 0.5 * float((own.sum(0) ** 2 - (own**2).sum(0)).sum()) / max(1, len(at))
+        return self.bias + float(self.weights[at].sum()) + pairs
 
     def score(self, text: str) -> float:
         return float(1 / (1 + np.exp(-np.clip(self.logit(terms(text)), -30, 30))))
@@ -83,11 +85,10 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, odds: float, factors: int =
     random = np.random.default_rng(7)
     known = np.bincount(np.concatenate([*rows, np.empty(0, np.int32)]).astype(np.int64), minlength=BINS)
     values = (known >= least).astype(np.float32)
-    own = np.flatnonzero(values)  # the terms with a vector, which the steps count from 0
-    weighs = association(rows, known, labels)[own] >= 15
-    weights, vectors = np.zeros(BINS, np.float32), np.zeros((BINS, factors), np.float32)
+    own = np.flatnonzero(values).astype(np.int32)  # the terms with a vector, which the steps count from 0
     if len(set(labels.tolist())) < 2:
-        return Machine(float(np.log(odds)), weights, vectors, np.zeros_like(values))
+        return Machine(float(np.log(odds)), own[:0], np.zeros(0, np.float32), np.zeros((0, factors), np.float32))
+    weighs = association(rows, known, labels)[own] >= 15
     size, place = len(own), np.cumsum(values > 0) - 1
     w, v = np.zeros(size, np.float32), random.normal(0, 0.01, (size, factors)).astype(np.float32)
     gw, gv, bias, gb = np.ones(size, np.float32), np.ones((size, factors), np.float32), 0.0, 1.0
@@ -119,29 +120,47 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, odds: float, factors: int =
             w[met] -= (rate * dw / np.sqrt(gw[met])).astype(np.float32)
             v[met] -= (0.1 * rate * dv / np.sqrt(gv[met])).astype(np.float32)
             bias -= rate * db / np.sqrt(gb)
-    weights[own], vectors[own] = w, v
     share = labels.mean()
-    return Machine(float(bias + np.log(odds) - np.log(share / (1 - share))), weights, vectors, values)
+    return Machine(float(bias + np.log(odds) - np.log(share / (1 - share))), own, w, v)
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", most_per_class: int = 6000) -> Machine:
-    """Fits on at most `most_per_class` labelled rows of each class outside the held-out fold."""
+    """Fits on at most `most_per_class` labelled rows of each class outside the held-out fold.
+
+    One task fits on the bounded sample's terms and returns the model.
+    """
+    n0, n1 = samples.class_counts(labels, label, FOLDS, FOLD)
+    odds = (n1 + 0.5) / (n0 + 0.5)
     rows = samples.labelled(docs, labels, label, FOLDS, FOLD, most_per_class).select("turn", "id", "label", "text")
-    out = T.StructType([*rows.schema.fields[:3], T.StructField("terms", T.ArrayType(T.IntegerType()))])
+    kept = rows.schema.fields[:3]
+    out = T.StructType([*kept, T.StructField("terms", T.ArrayType(T.IntegerType()))])
     schema = to_arrow_schema(out)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([terms(t.as_py()) for t in b.column(3)], schema.field("terms").type)], schema=schema)
 
-    found = rows.mapInArrow(hashed, out).toArrow().sort_by([("turn", "ascending"), ("id", "ascending")])
-    n0, n1 = samples.class_counts(labels, label, FOLDS, FOLD)
-    return fit([np.array(t.values.to_numpy(), np.int32) for t in found["terms"]], found["label"].to_numpy().astype(float), (n1 + 0.5) / (n0 + 0.5))
+    model = T.StructType([T.StructField("bias", T.DoubleType()), T.StructField("id", T.IntegerType()), T.StructField("weight", T.FloatType()), T.StructField("vector", T.ArrayType(T.FloatType()))])
+    model_schema = to_arrow_schema(model)
+
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = pa.Table.from_batches(batches, schema).sort_by([("turn", "ascending"), ("id", "ascending")])
+        m = fit([np.array(t.values.to_numpy(), np.int32) for t in found["terms"]], found["label"].to_numpy().astype(float), odds)
+        # A first row without a term, then one for each term.
+        vectors = [None, *m.vectors] if len(m.ids) else [None]
+        yield pa.RecordBatch.from_arrays([pa.array([m.bias] + [None] * len(m.ids), pa.float64()), pa.array([None, *m.ids.tolist()], pa.int32()), pa.array([None, *m.weights.tolist()], pa.float32()), pa.array(vectors, pa.list_(pa.float32()))], schema=model_schema)
+
+    one = rows.mapInArrow(hashed, out).repartition(1).mapInArrow(fitted, model).toArrow()
+    if not len(one):
+        return fit([], np.zeros(0), odds)
+    size = len(one) - 1
+    vectors = one["vector"].combine_chunks().flatten().to_numpy().reshape(size, -1) if size else np.zeros((0, 1), np.float32)
+    return Machine(one["bias"][0].as_py(), one["id"].slice(1).to_numpy().astype(np.int32), one["weight"].slice(1).to_numpy().astype(np.float32), vectors)
 
 
 def scored(df: DataFrame, machine: Machine, text_col: str = "text") -> DataFrame:
     """`df` with `score`, from 0 to 1; a column of that name is replaced."""
-    model = df.sparkSession.sparkContext.broadcast(machine)  # its size is fixed by BINS
+    model = df.sparkSession.sparkContext.broadcast(machine)  # its size is bounded by BINS
     names = [c for c in df.columns if c != "score"]
     df = df.select(*(F.col(f"`{c}`") for c in names), F.col(f"`{text_col}`").cast("string").alias("score"))
     out = T.StructType([*df.schema.fields[:-1], T.StructField("score", T.DoubleType())])
