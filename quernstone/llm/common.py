@@ -54,12 +54,17 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop_all_but(self, *names: str) -> None:
-        """Deletes the tables that no result reads any more."""
+        """Deletes the tables that no result reads any more.
+
+        Spark removes shuffle files and broadcasts of finished steps, on all machines, once
+        the driver has collected what refers to them, so that is done here too.
+        """
         for name, path in self.made:
             if name not in names:
                 at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
                 at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
         self.made = [x for x in self.made if x[0] in names]
+        self.spark._jvm.System.gc()
 
 
 def written(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:

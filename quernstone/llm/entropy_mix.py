@@ -60,7 +60,7 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float =
     return rows.select("source", "source_size", F.when(F.col("full"), F.col("limit")).otherwise(share).cast("double").alias("target"))
 
 
-def multipliers(spark: SparkSession, cells: DataFrame, goals: DataFrame, cap: float = CAP, close: float = 1e-6, most: int = 400) -> DataFrame:
+def multipliers(tables: common.Scratch, cells: DataFrame, goals: DataFrame, cap: float = CAP, close: float = 1e-6, most: int = 400) -> DataFrame:
     """source and multiplier, by Newton steps over `cells` (source, size, n).
 
     A source whose target is its words times the cap has rate `cap` throughout: its
@@ -85,7 +85,7 @@ def multipliers(spark: SparkSession, cells: DataFrame, goals: DataFrame, cap: fl
 
     def step(rows: DataFrame) -> tuple[DataFrame, int]:
         seen = Observation()
-        table = common.written(spark, rows.observe(seen, F.count_if(~F.col("done")).alias("open")), "mix-newton")
+        table = tables.table(rows.observe(seen, F.count_if(~F.col("done")).alias("open")), "newton")
         return table, seen.get["open"]
 
     state, left = step(state)
@@ -159,6 +159,7 @@ def mixed(spark: SparkSession, docs: DataFrame, weights: tuple[float, ...] = WEI
 
     Documents of one source and size are ranked in pieces of about `salt_rows` or fewer.
     """
+    tables = common.Scratch(spark, "mix")
     rows = common.located(spark, docs, {"id": id_col, "t": text_col, "source": source_col}, "mix-docs")
     rows = rows.select(
         "id",
@@ -168,14 +169,14 @@ def mixed(spark: SparkSession, docs: DataFrame, weights: tuple[float, ...] = WEI
         F.coalesce(F.regexp_count("t", F.lit(common.WORD)), F.lit(0)).cast("bigint").alias("size"),
         F.xxhash64("id", "t").alias("mix"),
     )
-    rows = common.written(spark, rows, "mix-sizes")
+    rows = tables.table(rows, "sizes")
     salts = max(64, rows.count() // salt_rows)
     rows = rows.withColumn("salt", F.pmod("mix", F.lit(salts)))
-    parts = common.written(spark, rows.groupBy("source", "size", "salt").agg(F.count(F.lit(1)).alias("n")), "mix-parts")
-    cells = common.written(spark, parts.groupBy("source", "size").agg(F.sum("n").alias("n")), "mix-cells")
+    parts = tables.table(rows.groupBy("source", "size", "salt").agg(F.count(F.lit(1)).alias("n")), "parts")
+    cells = tables.table(parts.groupBy("source", "size").agg(F.sum("n").alias("n")), "cells")
     sizes = cells.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
-    goals = common.written(spark, targets(sizes, weights, cap), "mix-goals")
-    duals = multipliers(spark, cells, goals, cap)
+    goals = tables.table(targets(sizes, weights, cap), "goals")
+    duals = multipliers(tables, cells, goals, cap)
     copies = whole_copies(cells, duals, cap)
 
     # A cell's extra copies are dealt over its salted parts in proportion, exactly; a hot cell stays spread.
@@ -184,12 +185,13 @@ def mixed(spark: SparkSession, docs: DataFrame, weights: tuple[float, ...] = WEI
     seen = F.sum("n").over(Window.partitionBy("source", "size").orderBy("salt"))
     upto = F.floor(seen * F.col("extra") / F.col("all"))
     before = F.floor((seen - F.col("n")) * F.col("extra") / F.col("all"))
-    dealt = common.written(spark, dealt.select("source", "size", "salt", "base", (upto - before).cast("bigint").alias("more")), "mix-dealt").alias("d")
+    dealt = tables.table(dealt.select("source", "size", "salt", "base", (upto - before).cast("bigint").alias("more")), "dealt").alias("d")
     rank = F.row_number().over(Window.partitionBy("source", "size", "salt").orderBy("mix", "id", "at_file", "at_row"))
     ranked = rows.withColumn("rank", rank).alias("r")
     same = F.col("r.source").eqNullSafe(F.col("d.source")) & (F.col("r.size") == F.col("d.size")) & (F.col("r.salt") == F.col("d.salt"))
     out = ranked.join(dealt, same).select("r.id", "r.at_file", "r.at_row", "r.source", "r.size", (F.col("d.base") + F.when(F.col("r.rank") <= F.col("d.more"), 1).otherwise(0)).alias("copies"))
     goals = goals.withColumnRenamed("source", "s")
+    tables.drop_all_but("sizes", "dealt", "goals")
     return out.join(goals, F.col("source").eqNullSafe(F.col("s"))).select("id", "at_file", "at_row", "source", "size", "source_size", "target", "copies")
 
 
