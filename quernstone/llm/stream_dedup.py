@@ -15,6 +15,8 @@ stays. An empty table gives an empty result. Further columns play no part.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,6 +70,18 @@ def newest(spark: SparkSession, folder: str) -> DataFrame:
     return index.groupBy("digest").agg(F.max_by(F.struct("keep", "group_size"), "batch").alias("s")).select("digest", "s.*")
 
 
+def _held_texts(spark: SparkSession, folder: str, held: DataFrame, text_col: str) -> DataFrame:
+    """digest, keep and text of rows that earlier calls kept: `held` has digest and keep."""
+    held = common.written(spark, held, "dedup-held")
+    files = spark.read.parquet(f"{folder}/files").join(held.select(F.col("keep.at_file").alias("at_file")).distinct(), "at_file", "left_semi")
+    paths = [r["at_path"] for r in files.select("at_path").distinct().collect()]  # as many as input files with hits
+    if not paths:
+        return held.select("digest", "keep", F.lit("").alias("t")).where(F.lit(False))
+    rows = common.located(spark, spark.read.parquet(*paths), {"t": text_col}, "dedup-held")
+    at = [F.col("keep.at_file") == F.col("at_file"), F.col("keep.at_row") == F.col("at_row")]
+    return rows.join(common.broadcast_if_small(held, held.count()), at).select("digest", "keep", F.coalesce("t", F.lit("")).alias("t"))
+
+
 def decide(
     spark: SparkSession,
     docs: DataFrame,
@@ -75,19 +89,30 @@ def decide(
     text_col: str = "text",
     digest=sha256,
     files_per_batch: int = 512,
+    folder: str | None = None,
 ) -> DataFrame:
     """A decision for every row of `docs`.
 
     Returns id, at_file, at_row, digest, keep (struct of id, at_file, at_row),
     group_size and kept. `digest` maps a text column to a string column; any
-    function is safe, as full bytes decide on hits.
+    function is safe, as full bytes decide on hits. `folder` holds the state of earlier
+    calls, over tables with the same text column; none starts afresh.
     """
+    again = folder is not None
+    folder = folder or common.shared_dir(spark, "dedup")
+    if again and not common._reads_files(docs):  # later calls read texts from these files
+        docs.write.parquet(kept := f"{folder}/rows-{uuid.uuid4().hex[:12]}")
+        docs = spark.read.schema(docs.schema).parquet(kept)
     rows = common.located(spark, docs, {"id": id_col, "t": text_col}, "dedup-rows")
     rows = rows.withColumn("id", F.col("id").cast("bigint")).withColumn("t", F.coalesce("t", F.lit("")))
     keyed = rows.withColumn("digest", digest(F.col("t")))
-    folder = common.shared_dir(spark, "dedup")
     narrow = keyed.select("digest", "id", "at_file", "at_row")
-    narrow.write.parquet(f"{folder}/digests")
+    call = f"{folder}/digests/call-{uuid.uuid4().hex[:12]}"
+    narrow.write.parquet(call)
+    before = common.written(spark, newest(spark, folder), "dedup-before") if again else None
+    if again:
+        path = F.col("_metadata.file_path")
+        docs.select(F.xxhash64(path).alias("at_file"), path.alias("at_path")).distinct().write.mode("append").parquet(f"{folder}/files")
 
     side = spark.newSession()  # the state store's settings stay out of the caller's session
     side.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
@@ -96,25 +121,33 @@ def decide(
     side.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
     # Else every store reserves 4 MB of disk for its manifest.
     side.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")
-    stream = side.readStream.schema(narrow.schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{folder}/digests")
+    stream = side.readStream.schema(narrow.schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{folder}/digests/*")
     run_stream(side, stream, folder)
 
-    digests = spark.read.schema(narrow.schema).parquet(f"{folder}/digests")
+    digests = spark.read.schema(narrow.schema).parquet(call)
     index = common.written(spark, newest(spark, folder), "dedup-index")
     hits = index.where("group_size > 1").select("digest")
     few = common.broadcast_if_small(hits, hits.count())
     # Full bytes on hits, without bringing a group together: each task sends on at most two texts of a digest.
-    extremes = keyed.join(few, "digest", "left_semi").groupBy("digest").agg(F.min("t").alias("low"), F.max("t").alias("high"))
+    texts = keyed.join(few, "digest", "left_semi").select("digest", "t")
+    old = None
+    if before is not None:
+        met = before.join(digests.select("digest").distinct(), "digest", "left_semi").select("digest", "keep")
+        old = common.written(spark, _held_texts(spark, folder, met, text_col), "dedup-held")
+        texts = texts.unionByName(old.select("digest", "t"))
+    extremes = texts.groupBy("digest").agg(F.min("t").alias("low"), F.max("t").alias("high"))
     clashes = common.written(spark, extremes.where("low <> high").select("digest"), "dedup-clashes")
 
     joined = digests.join(index, "digest")
     if n := clashes.count():
-        odd = keyed.join(common.broadcast_if_small(clashes, n), "digest", "left_semi")
-        groups = odd.groupBy("digest", "t").agg(
-            F.max(F.struct("id", "at_file", "at_row")).alias("keep"), F.count(F.lit(1)).alias("group_size")
-        )
+        unlike = common.broadcast_if_small(clashes, n)
+        odd = keyed.join(unlike, "digest", "left_semi")
+        places = odd.select("digest", "t", F.struct("id", "at_file", "at_row").alias("keep"))
+        if old is not None:
+            places = places.unionByName(old.join(unlike, "digest", "left_semi").select("digest", "t", "keep"))
+        groups = places.groupBy("digest", "t").agg(F.max("keep").alias("keep"), F.count(F.lit(1)).alias("group_size"))
         apart = odd.join(groups, ["digest", "t"]).select(*joined.columns)
-        joined = joined.join(common.broadcast_if_small(clashes, n), "digest", "left_anti").unionByName(apart)
+        joined = joined.join(unlike, "digest", "left_anti").unionByName(apart)
     kept = F.struct("id", "at_file", "at_row").eqNullSafe(F.col("keep"))
     return joined.select("id", "at_file", "at_row", "digest", "keep", "group_size", kept.alias("kept"))
 

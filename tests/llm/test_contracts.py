@@ -202,6 +202,22 @@ def test_exact_dedup_goes_on_from_its_state(spark, tmp_path):
     assert again == second
 
 
+def test_exact_dedup_checks_bytes_of_earlier_calls(spark, tmp_path):
+    """Rows of a second call against rows of the first, also where their digests clash."""
+    schema = "doc_id bigint, text string"
+    rough = lambda t: (F.length(t) > 1).cast("string")  # noqa: E731  all short texts clash, and so do all long ones
+    for digest in (stream_dedup.sha256, rough):
+        folder = common.shared_dir(spark, "again")
+        first = spark.createDataFrame([(1, "a"), (2, "long"), (9, None)], schema)
+        second = spark.createDataFrame([(3, "a"), (4, "b"), (0, "long"), (5, "more")], schema)
+        assert sum(r.kept for r in stream_dedup.decide(spark, first, digest=digest, folder=folder).collect()) == 3
+        found = {r.id: (r.keep.id, r.kept) for r in stream_dedup.decide(spark, second, digest=digest, folder=folder).collect()}
+        if digest is stream_dedup.sha256:
+            assert found == {3: (3, True), 4: (4, True), 0: (2, False), 5: (5, True)}
+        else:  # of texts that clash the state holds one row, so some earlier rows are not found, but unlike texts never meet
+            assert found[4] == (4, True) and found[5] == (5, True) and found[3] == (3, True)
+
+
 def components(texts, k, percent):
     """The smallest id that each id reaches over links of full word sets, all pairs."""
     sets = {}
