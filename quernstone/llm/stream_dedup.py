@@ -70,9 +70,9 @@ def newest(spark: SparkSession, folder: str) -> DataFrame:
     return index.groupBy("digest").agg(F.max_by(F.struct("keep", "group_size"), "batch").alias("s")).select("digest", "s.*")
 
 
-def _held_texts(spark: SparkSession, folder: str, held: DataFrame, text_col: str) -> DataFrame:
+def _held_texts(tables: common.Scratch, folder: str, held: DataFrame, text_col: str) -> DataFrame:
     """digest, keep and text of rows that earlier calls kept: `held` has digest and keep."""
-    held = common.written(spark, held, "dedup-held")
+    spark, held = tables.spark, tables.table(held, "held")
     files = spark.read.parquet(f"{folder}/files").join(held.select(F.col("keep.at_file").alias("at_file")).distinct(), "at_file", "left_semi")
     paths = [r["at_path"] for r in files.select("at_path").distinct().collect()]  # as many as input files with hits
     if not paths:
@@ -109,7 +109,8 @@ def decide(
     narrow = keyed.select("digest", "id", "at_file", "at_row")
     call = f"{folder}/digests/call-{uuid.uuid4().hex[:12]}"
     narrow.write.parquet(call)
-    before = common.written(spark, newest(spark, folder), "dedup-before") if again else None
+    tables = common.Scratch(spark, "dedup-tables")
+    before = tables.table(newest(spark, folder), "before") if again else None
     if again:
         path = F.col("_metadata.file_path")
         docs.select(F.xxhash64(path).alias("at_file"), path.alias("at_path")).distinct().write.mode("append").parquet(f"{folder}/files")
@@ -125,7 +126,7 @@ def decide(
     run_stream(side, stream, folder)
 
     digests = spark.read.schema(narrow.schema).parquet(call)
-    index = common.written(spark, newest(spark, folder), "dedup-index")
+    index = tables.table(newest(spark, folder), "index")
     hits = index.where("group_size > 1").select("digest")
     few = common.broadcast_if_small(hits, hits.count())
     # Full bytes on hits, without bringing a group together: each task sends on at most two texts of a digest.
@@ -133,10 +134,10 @@ def decide(
     old = None
     if before is not None:
         met = before.join(digests.select("digest").distinct(), "digest", "left_semi").select("digest", "keep")
-        old = common.written(spark, _held_texts(spark, folder, met, text_col), "dedup-held")
+        old = tables.table(_held_texts(tables, folder, met, text_col), "held-texts")
         texts = texts.unionByName(old.select("digest", "t"))
     extremes = texts.groupBy("digest").agg(F.min("t").alias("low"), F.max("t").alias("high"))
-    clashes = common.written(spark, extremes.where("low <> high").select("digest"), "dedup-clashes")
+    clashes = tables.table(extremes.where("low <> high").select("digest"), "clashes")
 
     joined = digests.join(index, "digest")
     if n := clashes.count():
@@ -149,6 +150,7 @@ def decide(
         apart = odd.join(groups, ["digest", "t"]).select(*joined.columns)
         joined = joined.join(unlike, "digest", "left_anti").unionByName(apart)
     kept = F.struct("id", "at_file", "at_row").eqNullSafe(F.col("keep"))
+    tables.drop_all_but("index", *(("clashes", "held-texts") if n else ()))
     return joined.select("id", "at_file", "at_row", "digest", "keep", "group_size", kept.alias("kept"))
 
 
