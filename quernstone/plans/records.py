@@ -97,20 +97,36 @@ def change_log_unpivot(spark, d):
     return sync.unpivoted(base, ["title", "notes"], F.lit("t"), F.lit("d")).select("record", "field", "value")
 
 
-def lww_merge(spark, d):
-    """Records after the merge of events as changes; a third of the events are of the own device."""
-    base = _table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.lit(-1.0).alias("click"), F.lit("n").alias("notes"), F.lit(0).alias("deleted"), F.lit("old").alias("updated_at"))
+def _changes(events):
+    """Events as changes; a third of them are of the own device."""
     field = F.when(F.col("event_type") == "error", "notes").otherwise(F.col("event_type"))
-    log = _table(spark, d, "events").select(F.col("user_id").alias("record"), field.alias("field"), F.when(F.col("event_id") % 4 > 0, F.col("value").cast("string")).alias("value"), F.col("ts").alias("at"), (F.col("event_id") % 3).alias("device"))
-    return sync.merged(base, log, F.lit("new"), 0, ("click", "notes"), "signup")
+    return events.select(F.col("user_id").alias("record"), field.alias("field"), F.when(F.col("event_id") % 4 > 0, F.col("value").cast("string")).alias("value"), F.col("ts").alias("at"), (F.col("event_id") % 3).alias("device"))
+
+
+def _customers(spark, d):
+    return _table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.lit(-1.0).alias("click"), F.lit("n").alias("notes"), F.lit(0).alias("deleted"), F.lit("old").alias("updated_at"))
+
+
+def _streamed(spark, d):
+    """The events as a stream, in a session of its own, whose settings stay out of the caller's."""
+    side = spark.newSession()
+    side.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
+    return side.readStream.schema(_table(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
+
+
+def lww_merge(spark, d):
+    """Records after the merge of events as changes."""
+    return sync.merged(_customers(spark, d), _changes(_table(spark, d, "events")), F.lit("new"), 0, ("click", "notes"), "signup")
+
+
+def stream_merge(spark, d):
+    """`lww_merge` over the events as a stream."""
+    return sync.merged_stream(_customers(spark, d), _changes(_streamed(spark, d)), stores.shared(spark, "stream"), F.lit("new"), 0, ("click", "notes"), "signup")
 
 
 def stream_lww(spark, d):
     """`lww_latest` over the events as a stream."""
-    side = spark.newSession()  # the state store's settings stay out of the caller's session
-    side.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
-    events = side.readStream.schema(_table(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    log = events.select(F.col("user_id").alias("record"), F.col("event_type").alias("field"), "value", F.col("ts").alias("at"), F.col("event_id").alias("device"))
+    log = _streamed(spark, d).select(F.col("user_id").alias("record"), F.col("event_type").alias("field"), "value", F.col("ts").alias("at"), F.col("event_id").alias("device"))
     return sync.latest_stream(log, stores.shared(spark, "stream")).select("record", "field", "value")
 
 
@@ -168,7 +184,7 @@ def interchange_round_trip(spark, d):
     return back.select("url", "title", "description", F.array_join("ingredients", " ").alias("ingredients"), F.get("instructions", F.lit(0))["text"].alias("step"), "prep", "cook", "servings", F.coalesce("error", F.nullif(changed, F.lit(""))).alias("error"))
 
 
-QUERIES: dict = {f.__name__: f for f in (record_extract, extract_negative, cuisine_tags, course_tags, diet_tags, label_counts, durations_all, robots_decision, robots_cache_latest, fetch_accept, change_log_unpivot, lww_merge, stream_lww, extract_variants, extract_and_tag, interchange_round_trip)}
+QUERIES: dict = {f.__name__: f for f in (record_extract, extract_negative, cuisine_tags, course_tags, diet_tags, label_counts, durations_all, robots_decision, robots_cache_latest, fetch_accept, change_log_unpivot, lww_merge, stream_merge, stream_lww, extract_variants, extract_and_tag, interchange_round_trip)}
 
 _VOC = ", ".join(f"('{n}', {t}, {p}, {s}::VARCHAR[])" for n, t, p, s in CUISINES)
 _SIGNALS = f"""
@@ -207,3 +223,4 @@ SELECT c_custkey AS id, CASE WHEN NOT gone AND c IS NOT NULL THEN c.v ELSE -1.0
     "interchange_round_trip": "SELECT 'http://x/' || p_partkey AS url, p_name AS title, NULL AS description, p_name AS ingredients, p_type AS step, p_size AS prep, NULL AS cook, p_brand AS servings, NULL AS error FROM part",
     "stream_lww": "SELECT user_id AS record, event_type AS field, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1",
 }
+ORACLE["stream_merge"] = ORACLE["lww_merge"]

@@ -6,6 +6,7 @@ from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quernstone.operators import store
 
@@ -115,7 +116,11 @@ def merged(records: DataFrame, log: DataFrame, now: Column, own, fields: tuple[s
     strictly newer, and then changes nothing else. Records that are not there stay away.
     """
     about = log.join(touched(log, own), "record", "left_semi")
-    newest = store.latest(about)
+    return _applied(records, store.latest(about), now, fields, deletion)
+
+
+def _applied(records: DataFrame, newest: DataFrame, now: Column, fields: tuple[str, ...], deletion: str) -> DataFrame:
+    """`records` after the newest rows (record, field, value, at) of all records that a merge meets."""
     is_deletion = F.col("field") == deletion
     pick = lambda f: F.max(F.when(F.col("field") == f, F.struct("at", "value"))).alias(f"new_{f}")
     wide = newest.groupBy("record").agg(*(pick(f) for f in fields), F.max(F.when(is_deletion, F.col("at"))).alias("gone_at"), F.max(F.when(~is_deletion, F.col("at"))).alias("alive_at"))
@@ -169,26 +174,41 @@ def status(log: DataFrame, state: DataFrame) -> DataFrame:
     return rows.agg(F.lit(True).alias("enabled"), F.count_if("open").alias("pending"), F.array_sort(F.collect_set("device")).alias("devices"), F.max("at").alias("last_sync_at"))
 
 
-def latest_stream(log: DataFrame, folder: str) -> DataFrame:
-    """Last writer wins over a streamed log, until what is there now is read: record, field, value, at.
+def _driven(state: DataFrame, keys: list[str], folder: str) -> DataFrame:
+    """The last rows of a streamed aggregate, until what is there now is read.
 
-    State is one row for each record and field, in RocksDB without expiry: late rows count.
-    Each batch writes the keys that it touched below its own number, so one that is run again
-    replaces what it wrote. A later call on the folder goes on from its state.
+    State is one row for each key, in RocksDB without expiry: late rows count. Each batch
+    writes the keys that it touched below its own number, so one that is run again replaces
+    what it wrote. A later call on the folder goes on from its state.
     """
-    spark = log.sparkSession
+    spark = state.sparkSession
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
 
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
-    query = store.latest(log).writeStream.outputMode("update").option("checkpointLocation", f"{folder}/state")
+    query = state.writeStream.outputMode("update").option("checkpointLocation", f"{folder}/state")
     query.trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
-    schema = store.latest(log).schema
+    schema = state.schema
     if not _there(spark, f"{folder}/rows/batch=*"):
         return spark.createDataFrame([], schema)
-    rows = spark.read.schema(schema.add("batch", "long")).option("basePath", f"{folder}/rows").parquet(f"{folder}/rows")
-    return rows.groupBy("record", "field").agg(F.max_by(F.struct("value", "at"), "batch").alias("v")).select("record", "field", "v.value", "v.at")
+    rows = spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType())])).option("basePath", f"{folder}/rows").parquet(f"{folder}/rows")
+    return store.last_of(rows, keys, "batch").select(*schema.names)
+
+
+def latest_stream(log: DataFrame, folder: str) -> DataFrame:
+    """Last writer wins over a streamed log (record, field, value, at, device): record, field, value, at."""
+    return _driven(store.latest(log), ["record", "field"], folder)
+
+
+def merged_stream(records: DataFrame, log: DataFrame, folder: str, now: Column, own, fields: tuple[str, ...] = MERGED, deletion: str = store.DELETION) -> DataFrame:
+    """As `merged` over a streamed log; the state also holds whether another device wrote a field."""
+    newest = F.max_by(F.struct("value", "at"), F.struct("at", "device")).alias("v")
+    state = log.groupBy("record", "field").agg(newest, F.max(F.col("device") != F.lit(own)).alias("remote"))
+    rows = _driven(state, ["record", "field"], folder)
+    met = rows.where("remote").select("record").distinct()
+    about = rows.join(met, "record", "left_semi").select("record", "field", "v.value", "v.at")
+    return _applied(records, about, now, fields, deletion)
 
 
 def to_fetch(requests: DataFrame, ttl: str = "24 hours") -> DataFrame:
