@@ -247,7 +247,7 @@ def _family_keys(rows: DataFrame, w: int) -> DataFrame:
             level = max(x for x in _LEVELS if x == 1 or (x <= p["need"] and comb(spare + x, x) <= _MOST_KEYS))
             for size in _LEVELS[: _LEVELS.index(level) + 1]:
                 places = np.arange(spare + 1)[:, None] if size == 1 else np.array(list(combinations(range(spare + size), size)))
-                key = np.full(len(places), (family * 64 + low) * 64 + high, np.int64).view(np.uint64) * _SEED1 + np.uint64(size)
+                key = np.full(len(places), ((family * 64 + low) * 64 + high) % (1 << 64), np.uint64) * _SEED1 + np.uint64(size)
                 for j in range(size):
                     key = _mixed(key * _SEED2 + own[places[:, j]])
                 side = 2 if low == high else int(band == high)
