@@ -71,9 +71,17 @@ class Machine:
         return float(1 / (1 + np.exp(-np.clip(self.logit(terms(text)), -30, 30))))
 
 
+def _counts(rows: list[np.ndarray]) -> np.ndarray:
+    """In how many rows each term is; the terms of a row are distinct."""
+    out = np.zeros(BINS, np.int64)
+    for r in rows:
+        out[r] += 1
+    return out
+
+
 def association(rows: list[np.ndarray], known: np.ndarray, labels: np.ndarray) -> np.ndarray:
     """The likelihood-ratio statistic of each term's presence against the label."""
-    toxic = np.bincount(np.concatenate([*(r for r, y in zip(rows, labels, strict=True) if y), np.empty(0, np.int32)]).astype(np.int64), minlength=BINS)
+    toxic = _counts([r for r, y in zip(rows, labels, strict=True) if y])
     n, n1 = len(rows), int(labels.sum())
     cells = ((toxic, known, n1), (known - toxic, known, n - n1), (n1 - toxic, n - known, n1), (n - n1 - known + toxic, n - known, n - n1))
     with np.errstate(divide="ignore", invalid="ignore"):
@@ -83,7 +91,7 @@ def association(rows: list[np.ndarray], known: np.ndarray, labels: np.ndarray) -
 def fit(rows: list[np.ndarray], labels: np.ndarray, odds: float, factors: int = 6, epochs: int = 20, batch: int = 64, rate: float = 0.5, decay: float = 1e-3, least: int = 3) -> Machine:
     """Adagrad over mini-batches of the logistic loss; the seed and order are fixed."""
     random = np.random.default_rng(7)
-    known = np.bincount(np.concatenate([*rows, np.empty(0, np.int32)]).astype(np.int64), minlength=BINS)
+    known = _counts(rows)
     values = (known >= least).astype(np.float32)
     own = np.flatnonzero(values).astype(np.int32)  # the terms with a vector, which the steps count from 0
     if len(set(labels.tolist())) < 2:
@@ -145,7 +153,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", most_per_cla
 
     def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = pa.Table.from_batches(batches, schema).sort_by([("turn", "ascending"), ("id", "ascending")])
-        m = fit([np.array(t.values.to_numpy(), np.int32) for t in found["terms"]], found["label"].to_numpy().astype(float), odds)
+        m = fit([t.values.to_numpy() for t in found["terms"]], found["label"].to_numpy().astype(float), odds)
         # A first row without a term, then one for each term.
         vectors = [None, *m.vectors] if len(m.ids) else [None]
         yield pa.RecordBatch.from_arrays([pa.array([m.bias] + [None] * len(m.ids), pa.float64()), pa.array([None, *m.ids.tolist()], pa.int32()), pa.array([None, *m.weights.tolist()], pa.float32()), pa.array(vectors, pa.list_(pa.float32()))], schema=model_schema)
