@@ -2,8 +2,8 @@
 
 Each learned language has a smoothed distribution over hashed letter trigrams. A
 document's trigrams are taken as drawn from a mixture of languages; EM estimates the
-proportions. Then languages leave the set one at a time, the least first, as long as
-the likelihood lost is below the penalty for a free proportion. The prediction is
+proportions. Then languages leave the set one at a time, the least that can first, as long
+as the likelihood lost is below the penalty for a free proportion. The prediction is
 the largest proportion of the set that is left.
 
 The distributions are fitted on a bounded sample: about `most_per_language` documents
@@ -87,11 +87,14 @@ class Mixture:
             if fit - less <= penalty * (len(own) - len(some)):
                 own, share, fit = some, fewer, less
         while len(own) > 1:
-            rest = np.delete(own, share.argmin())
-            fewer, less = self._em(p[rest], counts)
-            if fit - less > penalty:
+            for i in share.argsort():
+                rest = np.delete(own, i)
+                fewer, less = self._em(p[rest], counts)
+                if fit - less <= penalty:
+                    own, share, fit = rest, fewer, less
+                    break
+            else:
                 break
-            own, share, fit = rest, fewer, less
         best = int(share.argmax())
         return self.langs[own[best]], float(min(1.0, share[best])), [(self.langs[i], float(s)) for i, s in zip(own, share, strict=True)]
 

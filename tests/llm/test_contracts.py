@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quernstone.llm import common, entropy_mix, length_buckets, near_dedup, queries, stream_dedup, tiff, token_prefix, toxicity
+from quernstone.llm import common, entropy_mix, language, length_buckets, near_dedup, quality, queries, stream_dedup, tiff, token_prefix, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
@@ -361,3 +361,47 @@ def test_tiff_columns_take_odd_rows(spark):
     assert found.columns == ["number", "page"]
     assert sorted((r.number or "", r.page.error or "") for r in found.collect()) == [("", "no content"), ("", "no content"), ("x", ""), ("x", "")]
     assert tiff.tiff_pages(rows.where(F.lit(False)), "media").count() == 0
+
+
+def test_added_columns_replace_those_of_their_name(spark):
+    rows = spark.createDataFrame([(1, "a b", "x", "y", "z")], "doc_id bigint, text string, score string, mixture string, other string")
+    labels = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
+    for module in (toxicity, quality):
+        found = module.scored(rows, module.learn(rows, labels))
+        assert found.columns == ["doc_id", "text", "mixture", "other", "score"] and isinstance(found.first().score, float)
+    langs = rows.withColumn("lang", F.lit("en"))
+    found = language.inferred(langs, language.learn(langs))
+    assert found.columns == ["doc_id", "score", "other", "lang", "mixture"] and found.first().mixture.lang in ("en", "und")
+
+
+def test_more_languages_than_a_model_holds_are_an_error(spark):
+    rows = spark.range(40).selectExpr("id as doc_id", "'abc' as text", "cast(id as string) as lang")
+    with pytest.raises(ValueError, match="more than 3 languages"):
+        language.learn(rows, most_languages=3)
+
+
+def test_tiny_shares_leave_by_the_penalty_whatever_the_languages():
+    """A passage in a second language stays in the mixture beside many other languages."""
+    random = np.random.default_rng(6)
+    chance = random.dirichlet(np.full(400, 0.05), 12)
+    full = np.full((12, language.BINS), 1e-9)
+    full[:, :400] += chance
+    model = language.Mixture([f"l{i:02}" for i in range(12)], full / full.sum(1, keepdims=True))
+    counts = np.zeros(language.BINS)
+    counts[:400] = random.multinomial(200_000, chance[3]) + random.multinomial(150, chance[7])
+    ids = np.flatnonzero(counts)
+    grams = np.repeat(ids, counts[ids].astype(int))
+    language_trigrams, language.trigrams = language.trigrams, lambda text: grams
+    try:
+        best, _, shares = model.infer("x")
+    finally:
+        language.trigrams = language_trigrams
+    assert best == "l03" and dict(shares).keys() == {"l03", "l07"} and dict(shares)["l07"] < 1e-3
+
+
+def test_multipliers_are_found_where_a_rate_is_far_from_one(spark):
+    """Sizes far apart: the small documents' rate of nearly 3 takes a multiplier of thousands."""
+    rows = spark.createDataFrame([(i, " ".join(["w"] * (20_000 if i < 3 else 1)), "a") for i in range(200)] + [(i, "w w w", "b") for i in range(200, 40_000, 4)], "doc_id bigint, text string, source string")
+    found = entropy_mix.mixed(spark, rows, weights=(40, 1)).collect()
+    goal = next(r.target for r in found if r.source == "a")
+    assert 0 < sum(r.copies * r.size for r in found if r.source == "a") - goal + 10_000 < 20_000 and all(0 <= r.copies <= 3 for r in found)
