@@ -36,7 +36,7 @@ FOLDS, FOLD = 4, 2
 BINS = 1 << 15
 #: Characters that count as word characters but are neither letters nor decimal digits, such as ² and Ⅷ.
 NUMERALS = "".join(c for c in map(chr, range(128, sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-LETTERS = re.compile(rf"[^\W\d_{NUMERALS}]+")
+LETTERS, NUMERAL = re.compile(r"[^\W\d_]+"), re.compile(f"[{NUMERALS}]")
 
 MIXTURE = T.StructType(
     [
@@ -50,6 +50,8 @@ MIXTURE = T.StructType(
 def trigrams(text: str) -> np.ndarray:
     """Hashed trigrams of a whole text's words, which a space parts; none without letters."""
     words = " ".join(LETTERS.findall(text.lower()))
+    if not words.replace(" ", "").isalpha():
+        words = " ".join(NUMERAL.sub(" ", words).split())
     if not words:
         return np.empty(0, np.int64)
     code = np.frombuffer(f" {words} ".encode("utf-32-le"), np.uint32)
