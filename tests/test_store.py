@@ -1,6 +1,7 @@
 """Saves, patches, deletions, reads, search, merge and versions on small tables."""
 
 import json
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -191,3 +192,61 @@ def test_snapshot_needs_records(spark, filled, tmp_path):
     assert active == 2 and tables["tags"].count() == after.tags.count()
     with pytest.raises(ValueError, match="no recipes table"):
         interchange.restored(spark, str(tmp_path), ["recipes"])
+
+
+def test_array_files_are_cut_into_elements_by_their_bytes(spark, tmp_path):
+    """Many byte ranges and chunks in one file of one line; commas, brackets and quotes within strings; no row holds the file."""
+    from quernstone.sources import json_arrays
+
+    odd = ['a,b', '"', "\\", '\\",[', "]}", "é,ü" * 9, "", "\n"]
+    values = [{"k": i, "s": odd[i % 8] * (i % 40), "l": [i, [odd[(i + 3) % 8]]]} if i % 5 else [i, odd[i % 8]][i % 2] for i in range(200)]
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    for name, text in (("one", json.dumps(values, ensure_ascii=False)), ("lines", json.dumps(values, indent=1)), ("none", " [ \n ] "), ("single", "[[]]\n")):
+        (tmp_path / f"{name}.json").write_text(text)
+        try:
+            for k in old:
+                spark.conf.set(k, "1997")
+            found = interchange.array_items(spark, str(tmp_path / f"{name}.json")).orderBy("at").collect()
+        finally:
+            for k, v in old.items():
+                spark.conf.set(k, v)
+        want = json.loads(text)
+        assert [r.at for r in found] == list(range(len(want))) and [json.loads(r.json) for r in found] == want
+    rows = json_arrays.elements(spark, str(tmp_path / "one.json"))
+    assert rows.agg(F.max(F.length("text"))).first()[0] < 3000
+
+
+def test_chunks_of_a_block_give_the_same_elements(monkeypatch):
+    import pyarrow as pa
+
+    from quernstone.sources import json_arrays
+
+    values = [{"s": ['a,b"', '\\\\",[', "é]}"][i % 3] * i, "l": [i, {}]} for i in range(30)]
+    text = json.dumps(values, ensure_ascii=False)
+    pieces = [p.encode() for p in text.split(",")]
+    batches = [pa.RecordBatch.from_arrays([pa.array([7] * len(p)), pa.array([0] * len(p)), pa.array([len(text.encode())] * len(p)), pa.array(p)], ["file", "block", "size", "value"]) for p in (pieces[:9], pieces[9:])]
+    monkeypatch.setattr(json_arrays, "CHUNK", 5)
+    fields = ["file", "block", "n", "size", "text", "blank", "turns", "rises", "commas"]
+    chunks = [SimpleNamespace(**dict(zip(fields, (c[0].as_py() for c in b.columns), strict=True)), bytes=len(b.column(4)[0].as_py())) for b in json_arrays._chunked(batches)]
+    states, found = json_arrays._states(chunks), {}
+    for c in chunks:
+        within, depth, opened, at, _ = states[c.file, c.block, c.n]
+        for k, part in enumerate(json_arrays._parts(c.text, within, depth, opened)):
+            found[at + k] = found.get(at + k, b"") + part
+    assert len(chunks) > 100 and [json.loads(found[k]) for k in range(len(found))] == values
+
+
+def test_chunks_are_cut_anywhere_but_within_escapes_and_characters():
+    from quernstone.sources import json_arrays
+
+    text = bytearray('["é\\\\\\"x"]'.encode())
+    for size in range(1, len(text)):
+        end = json_arrays._end(text, size)
+        assert text[:end].decode() and (len(text[:end]) - len(bytes(text[:end]).rstrip(b"\\"))) % 2 == 0
+
+
+@pytest.mark.parametrize("text", ["{}", "[1,2", "[1,2]]", "[1,2] 3", "[1,,2]", "[1,2,]", "[1,2],", "[1 2]", "[1}", "[1},2]", '["a]', "1", "[1][2]", "[1],[2]", " ", '[{"a":1] , {"b":2}]', ',[1]'])
+def test_files_that_are_no_array_are_errors(spark, tmp_path, text):
+    (tmp_path / "f.json").write_text(text)
+    with pytest.raises(Exception, match="Failed to parse JSON"):
+        interchange.array_items(spark, str(tmp_path / "f.json")).collect()
