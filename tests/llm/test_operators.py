@@ -1,5 +1,7 @@
 """Corpus operators against brute force, on small tables with odd rows."""
 
+import zlib
+
 import numpy as np
 import pytest
 
@@ -181,3 +183,35 @@ def test_near_dedup_word_codes(monkeypatch):
     for piece in (1, 3, 8):
         monkeypatch.setattr(near_dedup, "_PIECE", piece)
         assert [near_dedup._word_codes(t.encode()).tolist() for t in texts] == whole
+
+
+def test_quality_is_fitted_on_all_pairs_of_all_rows():
+    """Loss and gradient from bins are those of all pairs one by one, whatever the parts; the fit is their optimum."""
+    random = np.random.default_rng(5)
+    x, labels = random.normal(size=(400, 3)), random.integers(0, 2, 400)
+    x[:, 0] += labels
+    model = quality.Ranking(x.mean(0), x.std(0), random.normal(size=6), 0.0)
+
+    def brute(model):
+        z, w = model.inputs(x), model.weights
+        gap = (z[labels == 1][:, None] - z[labels == 0][None]).reshape(-1, 6)
+        lose = 1 / (1 + np.exp(gap @ w))
+        return np.logaddexp(0, -(gap @ w)).mean() + 5e-5 * w @ w, -(gap * lose[:, None]).mean(0) + 1e-4 * w
+
+    sums = lambda m: quality.added([quality.summed(x[a::7], labels[a::7], m) for a in range(7)])
+    loss, gradient, _ = quality.pairs_loss(sums(model), model, 1e-4)
+    want = brute(model)
+    assert abs(loss - want[0]) < 1e-6 and np.abs(gradient - want[1]).max() < 1e-5
+    best = quality.fit(model, sums)
+    assert np.abs(brute(best)[1]).max() < 1e-5
+
+
+def test_quality_learns_from_every_labelled_row(spark):
+    """More rows than the former 6000 a class: the threshold is the exact quantile over all of them."""
+    rows = spark.range(16000).selectExpr("id as doc_id", "concat(repeat('word ', cast(id % 97 as int)), id) as text")
+    labels = rows.selectExpr("doc_id", "cast(doc_id % 97 > 60 or doc_id % 11 = 0 as int) as quality")
+    model = quality.learn(rows, labels)
+    kept = [i for i in range(16000) if zlib.crc32(str(i).encode()) % 5]
+    raw = np.sort([float(model.raw(quality.features("word " * (i % 97) + str(i)))) for i in kept])
+    n0 = sum(not (i % 97 > 60 or i % 11 == 0) for i in kept)
+    assert n0 > 6000 and abs(model.shift + np.log(0.3 / 0.7) - (raw[n0 - 1] + raw[n0]) / 2) < 1e-12
